@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from .chat_format import OP2_SQL, op2_chat_format
 from .cube_mix import op9_cube_mix
+from .decontaminate import OP3_SQL, op3_decontaminate
+from .toxicity import op5_toxicity
 from .url_filter import op4_url_filter
 from .warc_merkle import OP7_SQL, op7_warc_merkle
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op7_warc_merkle": op7_warc_merkle,
     "op9_cube_mix": op9_cube_mix,
 }
 ORACLE_SQL = {
     "op2_chat_format": OP2_SQL,
+    "op3_decontaminate": OP3_SQL,
     "op7_warc_merkle": OP7_SQL,
 }
