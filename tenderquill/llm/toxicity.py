@@ -1,7 +1,8 @@
 """Toxicity: counterfactual-regularised logistic regression on character n-grams.
 
-Features of a text are the 5-grams of its words, word boundaries included
-(presence only), so inflected and compounded insults share features. Fitting:
+Features of a text are the 5-grams of its words, word boundaries included, so
+inflected and compounded insults share features; each has three levels: found
+once, found twice, and found in one of a hundred words. Fitting:
 
 1. A class-balanced sample of at most SAMPLE labelled rows a class, the first by
    hash of doc_id, is the bounded fit sample.
@@ -27,7 +28,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SAMPLE, FEATURES, MIN_DF, MIN_CHI2 = 4000, 1024, 5, 15.0
+SAMPLE, FEATURES, MIN_DF, MIN_CHI2 = 4000, 1024, 5, 25.0
 GRAM = 5
+#: Levels of a feature: found at all, twice, in one of a hundred words.
+LEVELS = ("", "#2", "#d")
+#: Most that a toxic row weighs against a clean one where toxic rows are rarer.
+MAX_WEIGHT = 4.0
 L2, SWAP_PENALTY, STEPS = 1e-4, 1.0, 300
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -62,8 +66,18 @@ def word_grams(word: str) -> list[str]:
     return [w[i : i + GRAM] for i in range(len(w) - GRAM + 1)] or [w]
 
 
-def text_grams(text: str | None) -> set[str]:
-    return set(chain.from_iterable(map(word_grams, set(WORD.findall((text or "").lower())))))
+def levels(n: int, words: int) -> tuple[str, ...]:
+    return LEVELS[:1] + LEVELS[1:2] * (n >= 2) + LEVELS[2:] * (n * 100 >= words)
+
+
+def text_features(text: str | None) -> set[str]:
+    count = Counter(WORD.findall((text or "").lower()))
+    n: Counter[str] = Counter()
+    for w, k in count.items():
+        for g in set(word_grams(w)):
+            n[g] += k
+    words = count.total()
+    return {g + x for g, k in n.items() for x in levels(k, words)}
 
 
 def swaps(text: str | None, groups: list[list[str]]) -> Iterator[tuple[str, str]]:
@@ -81,7 +95,7 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = pdf.iloc[start : start + 500]
             n = (Counter(), Counter())
             for text, y in zip(part["text"], part["label"], strict=True):
-                n[int(y)].update(text_grams(text))
+                n[int(y)].update(text_features(text))
             for y in (0, 1):
                 yield pd.DataFrame({"gram": list(n[y]), "label": y, "n": list(n[y].values())})
 
@@ -91,20 +105,23 @@ class Model:
 
     def __init__(self, grams: list[str], weights: np.ndarray, bias: float) -> None:
         self.index, self.weights, self.bias = {g: k for k, g in enumerate(grams)}, weights, bias
+        self.bases = {g.removesuffix(x) for g in grams for x in LEVELS[1:]}
 
-    def features(self, text: str | None, memo: dict[str, tuple[int, ...]]) -> set[int]:
+    def features(self, text: str | None, memo: dict[str, tuple[str, ...]]) -> set[int]:
         if len(memo) > 300_000:
             memo.clear()
-        found: set[int] = set()
-        for w in set(WORD.findall((text or "").lower())):
+        words = WORD.findall((text or "").lower())
+        n: dict[str, int] = {}
+        for w in words:
             f = memo.get(w)
             if f is None:
-                f = memo[w] = tuple({self.index[g] for g in word_grams(w) if g in self.index})
-            if f:
-                found.update(f)
-        return found
+                f = memo[w] = tuple({g for g in word_grams(w) if g in self.bases})
+            for g in f:
+                n[g] = n.get(g, 0) + 1
+        found = (self.index.get(g + x) for g, k in n.items() for x in levels(k, len(words)))
+        return {k for k in found if k is not None}
 
-    def score(self, texts: pd.Series, memo: dict[str, tuple[int, ...]]) -> np.ndarray:
+    def score(self, texts: pd.Series, memo: dict[str, tuple[str, ...]]) -> np.ndarray:
         z = np.array([self.bias + sum(self.weights[k] for k in sorted(self.features(t, memo))) for t in texts], float)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
@@ -114,11 +131,13 @@ def train(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, l2: float = L2, pen
     w, bias = np.zeros(x.shape[1]), 0.0
     v, v0 = w.copy(), 0.0
     n = len(y)
-    lipschitz = 0.25 * ((x.astype(np.float64) ** 2).sum() / n + 1) + l2
+    weight = np.where(y == 1, min(MAX_WEIGHT, max(1.0, (n - y.sum()) / max(y.sum(), 1))), 1.0)
+    weight = weight / weight.mean()
+    lipschitz = 0.25 * (((x.astype(np.float64) ** 2).sum(axis=1) * weight).sum() / n + 1) + l2
     if len(swapped):
         lipschitz += 2 * penalty * (swapped**2).sum() / len(swapped)
     for k in range(steps):
-        err = 1 / (1 + np.exp(-(x @ v + v0))) - y
+        err = weight * (1 / (1 + np.exp(-(x @ v + v0))) - y)
         grad = x.T @ err / n + l2 * v
         if len(swapped):
             grad += 2 * penalty * swapped.T @ (swapped @ v) / len(swapped)
@@ -147,7 +166,7 @@ def fit(labelled: DataFrame, groups: list[list[str]] = IDENTITY_GROUPS) -> Model
     held = labelled.sparkSession.sparkContext.broadcast(model)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[int, ...]] = {}
+        memo: dict[str, tuple[str, ...]] = {}
         m = held.value
         for pdf in batches:
             out = []
@@ -186,7 +205,7 @@ def score_texts(documents: DataFrame, model: Model, text_col: str = "text") -> D
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, tuple[int, ...]] = {}
+        memo: dict[str, tuple[str, ...]] = {}
         for texts in batches:
             yield pd.Series(held.value.score(texts, memo))
 
