@@ -5,15 +5,19 @@ from __future__ import annotations
 from .chat_format import OP2_SQL, op2_chat_format
 from .cube_mix import op9_cube_mix
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .media_chunks import op1_media_chunks
+from .quality_bayes import op6_quality_bayes
 from .toxicity import op5_toxicity
 from .url_filter import op4_url_filter
 from .warc_merkle import OP7_SQL, op7_warc_merkle
 
 QUERIES = {
+    "op1_media_chunks": op1_media_chunks,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
+    "op6_quality_bayes": op6_quality_bayes,
     "op7_warc_merkle": op7_warc_merkle,
     "op9_cube_mix": op9_cube_mix,
 }
