@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP2_SQL, op2_chat_format
 from .cube_mix import op9_cube_mix
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .media_chunks import op1_media_chunks
 from .quality_bayes import op6_quality_bayes
 from .toxicity import op5_toxicity
@@ -19,10 +20,12 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_bayes": op6_quality_bayes,
     "op7_warc_merkle": op7_warc_merkle,
+    "op8_line_dedup": op8_line_dedup,
     "op9_cube_mix": op9_cube_mix,
 }
 ORACLE_SQL = {
     "op2_chat_format": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
     "op7_warc_merkle": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
