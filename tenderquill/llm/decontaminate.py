@@ -17,7 +17,8 @@ MB, so long texts need little memory beyond their own.
 Defined cases: null or empty texts have no words and no hits; items without
 words or without id are ignored; repeated documents are judged alike, repeated
 items count once by id; an empty benchmark hits nothing; empty documents give no
-rows; extra columns are kept by decontaminate() and ignored by the query.
+rows; extra columns are kept by decontaminate(), but for those named as the
+added ones, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -213,6 +214,8 @@ def _with_block(held, text_col: str, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = held.value
         for pdf in batches:
+            if not len(pdf):
+                continue
             n, hits, items = [], [], []
             for text, had, owners in zip(pdf[text_col], pdf["hits"], pdf["items"], strict=True):
                 buf = text.encode().translate(TRANSLATION) if isinstance(text, str) else b""
@@ -244,7 +247,7 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents with n_words, hits (merged runs of hit words) and items (ids, as sorted strings)."""
     spark = documents.sparkSession
-    out = documents.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,words:long>>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = documents.drop("n_words", "hits", "items").select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,words:long>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     blocks = 0
     for block in benchmark_blocks(benchmark, block_words):
         out = out.mapInPandas(_with_block(spark.sparkContext.broadcast(Block(block)), text_col, out.columns), out.schema)

@@ -25,7 +25,8 @@ are short because frequent words come last.
 Defined cases: null text stays null, empty text stays empty; lines of fewer than
 MIN_WORDS distinct words are kept and match nothing; identical rows with one
 doc_id are one document and lose the same lines; rows with one doc_id and other
-texts are separate; an empty table gives no rows; extra columns are kept.
+texts are separate; an empty table gives no rows; extra columns are
+kept, but for those named as the added ones.
 """
 
 from __future__ import annotations
@@ -178,16 +179,16 @@ def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, min_words: i
     first = occurrence.groupBy("sig").agg(F.min(F.struct("late", "dk", "ln")).alias("first"))
     marks = first.join(bad, "sig", "left")
     gone = occurrence.join(marks, "sig").where(F.coalesce("similar", F.lit(False)) | (F.struct("late", "dk", "ln") != F.col("first")))
-    per = gone.groupBy("dk", "th").agg(F.collect_set("ln").alias("gone")).withColumnsRenamed({"dk": "__dk", "th": "__th"})
+    per = gone.groupBy("dk", "th").agg(F.collect_set("ln").alias("gone")).withColumnsRenamed({"dk": "__dk", "th": "__th", "gone": "__gone"})
     key = (_key(F.col("doc_id"), F.col("text")) == F.col("__dk")) & (F.xxhash64("text") == F.col("__th"))
     split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(split, k)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
+    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(split, k)), "\n"))
     out = documents.join(per, key, "left")
     return out.select(
-        *(cleaned.alias(c) if c == "text" else F.col(c) for c in documents.columns),
+        *(cleaned.alias(c) if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")),
         F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"),
     )
 
 
