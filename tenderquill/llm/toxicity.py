@@ -97,7 +97,8 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text, y in zip(part["text"], part["label"], strict=True):
                 n[int(y)].update(text_features(text))
             for y in (0, 1):
-                yield pd.DataFrame({"gram": list(n[y]), "label": y, "n": list(n[y].values())})
+                if n[y]:  # Arrow takes no empty column of strings
+                    yield pd.DataFrame({"gram": list(n[y]), "label": y, "n": list(n[y].values())})
 
 
 class Model:
