@@ -38,9 +38,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver's cleaner drop shuffle files of plans nobody holds any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees the plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 A text's payload (UTF-8, padded with spaces to a positive multiple of 192 bytes)
 becomes a WAV file of 8-bit mono samples. A gear hash rolls over the last 32
-bytes; where its low bits are zero a chunk ends, within the least and largest
+samples; where its low bits are zero a chunk ends, within the least and largest
 chunk size, so equal stretches give equal chunks wherever they stand. Tables in
 the shared folder:
 
-* manifest: one row a document: sha256 of the whole file, ordered chunk digests;
-* store: every distinct chunk once, by sha256, compressed.
+* manifest: one row a document: sha256 of the whole file, header, chunk digests
+  in order;
+* store: every distinct chunk once, by sha256, compressed; bucketed by digest, so
+  that reading doesn't shuffle it.
 
 Reading joins each distinct file's chunk list with the store, puts chunks back in
 order, checks each chunk's digest and the whole file's, and computes features
 from the samples. Copies share a manifest entry, so a file of many copies is
-rebuilt once; its features are joined back to all of them. All joins are
-shuffled, so that AQE can split hot chunks and hot files.
+rebuilt once; its features are joined back to all of them. Chunks that more than
+HOT files refer to are joined apart, by a shuffle that AQE can split. Only files
+of several chunks are shuffled to be put together.
 
 Defined cases: null text counts as empty and gives one block of spaces; null
 doc_ids and repeated rows keep their rows; an empty table gives no rows; extra
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,11 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, table
+from .common import free_shuffles, materialize, shared_dir, table
 
 BLOCK, RATE = 192, 16_000
-REACH, LEAST, MOST = 32, 1024, 16_384
-MASK = np.uint32((1 << 12) - 1)
+REACH, LEAST, MOST = 32, 8192, 65_536
+MASK = np.uint32((1 << 14) - 1)
+HOT = 10_000
 SEGMENT, GROUP = 1 << 20, 1 << 22
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), np.uint32)
 
@@ -48,9 +53,9 @@ def payload(text: str | None) -> bytes:
     return raw + b" " * (BLOCK - len(raw) % BLOCK if len(raw) % BLOCK or not raw else 0)
 
 
-def wav(samples: bytes) -> bytes:
-    """A WAV file: PCM, mono, 8 bits."""
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(samples)) + samples
+def wav_header(n: int) -> bytes:
+    """Head of a WAV file of n samples: PCM, mono, 8 bits."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n)
 
 
 def samples_of(media: bytes) -> bytes:
@@ -111,23 +116,25 @@ def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), 1000):
             part = pdf.iloc[at : at + 1000]
-            files = [wav(payload(t)) for t in part["text"]]
+            files = [payload(t) for t in part["text"]]
+            heads = [wav_header(len(f)) for f in files]
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"],
                     "n_bytes": [len(t.encode()) if isinstance(t, str) else 0 for t in part["text"]],
-                    "media": [hashlib.sha256(f).digest() for f in files],
+                    "media": [hashlib.sha256(h + f).digest() for h, f in zip(heads, files, strict=True)],
+                    "header": heads,
                     "digests": [[hashlib.sha256(c).digest() for c in cs] for cs in chunks(files)],
                 }
             )
 
 
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pack = zstandard.ZstdCompressor(level=6)
+    pack = zstandard.ZstdCompressor(level=9)
     for pdf in batches:
         for at in range(0, len(pdf), 1000):
             found = {}
-            for cs in chunks([wav(payload(t)) for t in pdf["text"].iloc[at : at + 1000].unique()]):
+            for cs in chunks([payload(t) for t in pdf["text"].iloc[at : at + 1000].unique()]):
                 for c in cs:
                     found.setdefault(hashlib.sha256(c).digest(), c)
             yield pd.DataFrame({"digest": list(found), "packed": [pack.compress(c) for c in found.values()]})
@@ -144,11 +151,11 @@ def feature(samples: bytes) -> str:
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_chunks long, feature string"
 
 
-def read_media(media: pd.Series, parts: pd.Series) -> pd.DataFrame:
+def read_media(media: pd.Series, header: pd.Series, parts: pd.Series) -> pd.DataFrame:
     """Rebuild files from (seq, digest, packed) parts in order, verify and measure them."""
     unpack, rows = zstandard.ZstdDecompressor(), []
-    for want, own in zip(media, parts, strict=True):
-        pieces = []
+    for want, head, own in zip(media, header, parts, strict=True):
+        pieces = [bytes(head)]
         for k, p in enumerate(own):
             c = unpack.decompress(p["packed"])
             if p["seq"] != k or hashlib.sha256(c).digest() != bytes(p["digest"]):
@@ -158,29 +165,41 @@ def read_media(media: pd.Series, parts: pd.Series) -> pd.DataFrame:
         if hashlib.sha256(whole).digest() != bytes(want):
             raise ValueError(f"{bytes(want).hex()} is not what was stored")
         s = samples_of(whole)
-        rows.append((len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-16:]), len(whole), bytes(want).hex(), len(pieces), feature(s)))
+        rows.append((len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-16:]), len(whole), bytes(want).hex(), len(own), feature(s)))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
 
 
 def store_media(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Writes and returns (manifest, chunk store) of documents' doc_id and text."""
+    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    manifest = materialize(rows.mapInPandas(_manifest, "doc_id long, n_bytes long, media binary, digests array<binary>"), "media-manifest")
+    manifest = materialize(rows.mapInPandas(_manifest, "doc_id long, n_bytes long, media binary, header binary, digests array<binary>"), "media-manifest")
     store = rows.select("text").mapInPandas(_store, "digest binary, packed binary").dropDuplicates(["digest"])
-    store = materialize(store, "media-store")
-    free_shuffles(documents.sparkSession)
-    return manifest, store
+    name = f"media_store_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store.write.bucketBy(buckets, "digest").sortBy("digest").option("path", f"{shared_dir(spark)}/tenderquill/{name}").option("compression", "none").saveAsTable(name)
+    del store
+    free_shuffles(spark)
+    return manifest, spark.table(name)
 
 
 def load_media(manifest: DataFrame, store: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what read_media finds in each document's file."""
-    files = manifest.groupBy("media").agg(F.first("digests").alias("digests"))
-    parts = files.select("media", F.posexplode("digests").alias("seq", "digest"))
-    found = parts.join(store.hint("shuffle_merge"), "digest", "left")
-    found = found.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "packed"))).alias("parts"))
+    files = manifest.groupBy("media").agg(F.first(F.struct("header", "digests")).alias("f")).select("media", "f.*")
+    files = materialize(files, "media-files")
+    parts = files.select("media", "header", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
+    hot = materialize(parts.groupBy("digest").count().where(F.col("count") > HOT).select("digest"), "media-hot")
+    usual = parts.join(hot, "digest", "left_anti").join(store.hint("merge"), "digest", "left")
+    often = parts.join(hot, "digest", "left_semi").join(store.join(hot, "digest", "left_semi").hint("merge"), "digest", "left")
+    part = F.struct("seq", "digest", "packed")
+    usual = usual.select("media", "header", "n", part.alias("part"))
+    often = often.select("media", "header", "n", part.alias("part"))
+    single = usual.where("n = 1").select("media", "header", F.array("part").alias("parts"))
+    several = usual.where("n > 1").unionByName(often)
+    several = several.groupBy("media").agg(F.first("header").alias("header"), F.sort_array(F.collect_list("part")).alias("parts"))
     measure = F.pandas_udf(read_media, READ)
-    measured = found.select("media", measure("media", "parts").alias("m")).select("media", "m.*")
-    return manifest.select("doc_id", "n_bytes", "media").join(measured.hint("shuffle_merge"), "media").drop("media")
+    measured = single.unionByName(several).select("media", measure("media", "header", "parts").alias("m")).select("media", "m.*")
+    return manifest.select("doc_id", "n_bytes", "media").join(measured.hint("merge"), "media").drop("media")
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
