@@ -36,7 +36,7 @@ def week_key(d: Column) -> Column:
     """Year and Monday-based week number, 00 before the first Monday."""
     d = d.cast("date")
     week = F.floor((F.dayofyear(d) + 6 - F.weekday(d)) / 7)
-    return F.concat_ws("-", F.year(d).cast("string"), F.lpad(week.cast("string"), 2, "0"))
+    return F.concat(F.year(d).cast("string"), F.lit("-"), F.lpad(week.cast("string"), 2, "0"))
 
 
 def days_left(closing: Column, asof: str | Column) -> Column:
@@ -52,22 +52,20 @@ def days_left_truncated(closing: Column, now: str) -> Column:
 
 def days_between(a: Column, b: Column) -> Column:
     """Absolute gap of two ISO strings; null where either isn't a date."""
-    return F.abs(F.date_diff(F.try_to_date(a, F.lit("yyyy-MM-dd")), F.try_to_date(b, F.lit("yyyy-MM-dd"))))
+    return F.abs(F.date_diff(F.try_to_date(a, "yyyy-MM-dd"), F.try_to_date(b, "yyyy-MM-dd")))
 
 
 def _made(y: Column, m: Column, d: Column) -> Column:
     text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    return F.try_to_date(F.when((y != "") & (m != "") & (d != ""), text), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.when((y != "") & (m != "") & (d != ""), text), "yyyy-MM-dd")
 
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def _month_number(name: Column) -> Column:
-    out = F.lit("")
-    for k, m in reversed(list(enumerate(MONTHS, 1))):
-        out = F.when(F.lower(F.substring(name, 1, 3)) == m, F.lit(str(k))).otherwise(out)
-    return out
+    numbers = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m, str(k))))
+    return F.coalesce(F.try_element_at(numbers, F.lower(F.substring(name, 1, 3))), F.lit(""))
 
 
 def parse_date(text: Column) -> Column:
