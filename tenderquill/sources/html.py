@@ -109,7 +109,7 @@ def attachments(html: Column, most: int = 10) -> Column:
 def details(html: Column) -> Column:
     """Detail page fields; bid security gives a value band of 2 to 5 %."""
     t = page_text(html)
-    label = lambda words: clean(F.regexp_extract(t, rf"(?i)(?:{words})\s*[:\-]?\s*([^.;]{{1,120}})", 1))
+    label = lambda words: clean(F.regexp_extract(t, rf"(?i)(?:{words})\s*[:\-]?\s*((?:(?!\.\s+[A-Z])[^;]){{1,120}})", 1))
     security = parse_money(F.nullif(label("bid security|earnest money"), F.lit("")))["value_num"]
     band = lambda share: F.when(security > 1000, security / share)
     return F.struct(
