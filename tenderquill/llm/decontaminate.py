@@ -31,11 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table
+from .common import UPPER, materialize, table
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
 BLOCK_WORDS = 1_000_000
+#: Blocks that one stage joins, each in a Python worker of its own; more of them go by way of a written table.
+CHAIN = 4
 PIECE = 1 << 21
 
 
@@ -250,6 +252,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
     out = documents.drop("n_words", "hits", "items").select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,words:long>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     blocks = 0
     for block in benchmark_blocks(benchmark, block_words):
+        if blocks and blocks % CHAIN == 0:
+            out = materialize(out, "decontaminate")
         out = out.mapInPandas(_with_block(spark.sparkContext.broadcast(Block(block)), text_col, out.columns), out.schema)
         blocks += 1
     if not blocks:
