@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
@@ -112,32 +112,41 @@ for part, sql in {
 query("a05_brief_stats", lambda d: fd.brief(d.notices, d.changes, ASOF)["stats"], f"SELECT {n_if(f'{LIVE} AND {OPEN}')} AS open_opps, {n_if(f"lane = 'Core' AND dup_of IS NULL AND {OPEN}")} AS open_core, count(*) AS tracked FROM notices", N)
 
 # award intelligence; "ours" are the suppliers whose names end in 7
-US, WHO = "Ours", F.when(F.lower("winner").endswith("7"), "Ours").when(F.lower("winner").endswith("3"), "Three").when(F.lower("winner").endswith("5"), "Five")
-OURS_COL = F.lower("winner").endswith("7")
+US = "Ours"
+
+
+def ours() -> Column:
+    return F.lower("winner").endswith("7")
+
+
+def who() -> Column:
+    return F.when(ours(), US).when(F.lower("winner").endswith("3"), "Three").when(F.lower("winner").endswith("5"), "Five")
+
+
 WHO_SQL = "CASE WHEN lower(winner) LIKE '%7' THEN 'Ours' WHEN lower(winner) LIKE '%3' THEN 'Three' WHEN lower(winner) LIKE '%5' THEN 'Five' END"
 SHARE = "coalesce(round_even(100 * our_value / nullif(total_value, 0), 1), 0.0)"
 query(
     "a06_account_map",
-    lambda d: aw.account_map(d.awards, OURS_COL, ASOF),
+    lambda d: aw.account_map(d.awards, ours(), ASOF),
     f"SELECT *, {SHARE} AS our_share, round_even(total_value - our_value, 0) AS gap_value, CASE WHEN {SHARE} >= 60 THEN 'Held' WHEN {SHARE} > 0 THEN 'Contested' ELSE 'Not won' END AS status FROM (SELECT {KEY} AS account, max(buyer_sector) AS sector, count(*) AS awards, round(sum({V}), 2) AS total_value, round(sum(CASE WHEN {OURS} THEN {V} ELSE 0 END), 2) AS our_value, {n_if(OURS)} AS our_wins, "
     f"count(DISTINCT winner) AS suppliers, round(avg(bids_received), 1) AS avg_bids, min(award_date) AS first_award, max(award_date) AS last_award, min(CASE WHEN renewal_due >= :asof THEN renewal_due END) AS next_renewal FROM (SELECT * EXCLUDE (d) FROM awards) WHERE buyer <> '' AND {SOFT} GROUP BY 1 ORDER BY total_value DESC, account LIMIT 25)",
     A,
 )
 WINNERS = f"SELECT winner, count(*) AS wins, round(sum({V}), 2) AS value, count(DISTINCT buyer) AS buyers, round(avg(bids_received), 1) AS avg_bids, {n_if('bids_received = 1')} AS uncontested, max(award_date) AS last_win FROM awards WHERE winner <> '' AND {SOFT} GROUP BY 1"
 RIVALS = "SELECT who, CAST(sum(wins) AS BIGINT) AS wins, round(sum(value), 2) AS value, max(buyers) AS buyers, CAST(sum(uncontested) AS BIGINT) AS uncontested, max(last_win) AS last_win, round_even(sum(CASE WHEN avg_bids <> 0 THEN avg_bids * wins END) / sum(CASE WHEN avg_bids <> 0 THEN wins END), 1) AS avg_bids, count(*) AS aliases, who = 'Ours' AS is_us FROM (SELECT *, coalesce(" + WHO_SQL + ", substr(winner, 1, 40)) AS who FROM ({})) GROUP BY who"
-query("a07_rivals", lambda d: aw.rivals(d.awards, WHO, US), RIVALS.format(WINNERS + " ORDER BY value DESC, wins DESC, winner LIMIT 20"), A)
-query("a07_rivals_exact", lambda d: aw.rivals(d.awards, WHO, US, limit=None), RIVALS.format(WINNERS), A)
+query("a07_rivals", lambda d: aw.rivals(d.awards, who(), US), RIVALS.format(WINNERS + " ORDER BY value DESC, wins DESC, winner LIMIT 20"), A)
+query("a07_rivals_exact", lambda d: aw.rivals(d.awards, who(), US, limit=None), RIVALS.format(WINNERS), A)
 DUE = f"renewal_due >= :asof AND renewal_due <= :asof + INTERVAL '540' DAY AND {SOFT}"
-query("a08_renewal_calendar", lambda d: aw.renewal_calendar(d.awards, OURS_COL, ASOF), f"SELECT strftime(renewal_due, '%Y-%m') AS month, count(*) AS n, round(sum({V}), 2) AS value, {n_if(OURS)} AS ours_n, round(sum(CASE WHEN {OURS} THEN {V} ELSE 0 END), 2) AS ours_value FROM awards WHERE {DUE} GROUP BY 1", A)
+query("a08_renewal_calendar", lambda d: aw.renewal_calendar(d.awards, ours(), ASOF), f"SELECT strftime(renewal_due, '%Y-%m') AS month, count(*) AS n, round(sum({V}), 2) AS value, {n_if(OURS)} AS ours_n, round(sum(CASE WHEN {OURS} THEN {V} ELSE 0 END), 2) AS ours_value FROM awards WHERE {DUE} GROUP BY 1", A)
 OUT = f"uid, winner, value_num, award_date, tenure_months, renewal_due, lane, product_line, bids_received, {KEY} AS account, CAST(date_diff('day', :asof, renewal_due) AS INTEGER) AS days_out"
-query("x3_defend", lambda d: aw.defend(d.awards, OURS_COL, ASOF), f"SELECT {OUT} FROM awards WHERE renewal_due >= :asof AND {OURS}", A)
-query("x3_attack", lambda d: aw.attack(d.awards, OURS_COL, WHO, ASOF), f"SELECT {OUT}, coalesce({WHO_SQL}, 'Other') AS incumbent FROM awards WHERE {DUE} AND NOT {OURS} ORDER BY {V} DESC, renewal_due, uid, winner, value_num, award_date, tenure_months, lane, product_line, bids_received LIMIT 40", A)
+query("x3_defend", lambda d: aw.defend(d.awards, ours(), ASOF), f"SELECT {OUT} FROM awards WHERE renewal_due >= :asof AND {OURS}", A)
+query("x3_attack", lambda d: aw.attack(d.awards, ours(), who(), ASOF), f"SELECT {OUT}, coalesce({WHO_SQL}, 'Other') AS incumbent FROM awards WHERE {DUE} AND NOT {OURS} ORDER BY {V} DESC, renewal_due, uid, winner, value_num, award_date, tenure_months, lane, product_line, bids_received LIMIT 40", A)
 CAD = f"SELECT {KEY} AS account, product_line, count(*) AS n, min(award_date) AS first_award, max(award_date) AS last_award, CAST(trunc(date_diff('day', min(award_date), max(award_date)) / nullif(count(*) - 1, 0)) AS INTEGER) AS avg_gap_days, CAST(date_diff('day', max(award_date), :asof) AS INTEGER) AS since_last FROM awards WHERE award_date IS NOT NULL AND buyer <> '' AND {SOFT} GROUP BY 1, 2 HAVING count(*) >= 2"
 query("a09_cadence", lambda d: aw.cadence(d.awards, ASOF), f"SELECT *, since_last - avg_gap_days AS overdue_by, CASE WHEN n >= 4 THEN 'high' WHEN n = 3 THEN 'medium' ELSE 'low' END AS confidence FROM ({CAD}) WHERE avg_gap_days >= 120 AND since_last > avg_gap_days * 1.05 ORDER BY overdue_by DESC, account, product_line LIMIT 20", A)
 query("a10_price_bands", lambda d: aw.price_bands(d.awards), f"SELECT product_line, count(*) AS n, round(min(value_num), 0) AS low, round(avg(value_num), 0) AS avg, round(max(value_num), 0) AS high, round(avg(bids_received), 1) AS avg_bids, {n_if('bids_received = 1')} AS uncontested FROM awards WHERE value_num > 10000 AND product_line <> '' AND {SOFT} GROUP BY 1", A)
 query("a11_pipeline", lambda d: aw.pipeline(d.notices, ASOF), f"SELECT product_line, count(*) AS n, round(sum(coalesce(value_num, est_value_low, 0)), 2) AS v FROM notices WHERE {LIVE} AND {OPEN} GROUP BY 1", N)
-query("a12_sector_values", lambda d: aw.sector_values(d.awards, OURS_COL), f"SELECT coalesce(buyer_sector, 'Other') AS sector, count(*) AS n, round(sum({V}), 2) AS value, round(sum(CASE WHEN {OURS} THEN {V} ELSE 0 END), 2) AS ours FROM awards WHERE {SOFT} GROUP BY 1", A)
-query("a13_award_stats", lambda d: aw.award_stats(d.awards, OURS_COL), f"SELECT *, {SHARE} AS our_share FROM (SELECT count(*) AS awards, round(sum({V}), 2) AS total_value, round(sum(CASE WHEN {OURS} THEN {V} ELSE 0 END), 2) AS our_value, {n_if(OURS)} AS our_wins, count(DISTINCT winner) AS suppliers, count(DISTINCT buyer) AS buyers, min(award_date) AS history_from FROM awards)", A)
+query("a12_sector_values", lambda d: aw.sector_values(d.awards, ours()), f"SELECT coalesce(buyer_sector, 'Other') AS sector, count(*) AS n, round(sum({V}), 2) AS value, round(sum(CASE WHEN {OURS} THEN {V} ELSE 0 END), 2) AS ours FROM awards WHERE {SOFT} GROUP BY 1", A)
+query("a13_award_stats", lambda d: aw.award_stats(d.awards, ours()), f"SELECT *, {SHARE} AS our_share FROM (SELECT count(*) AS awards, round(sum({V}), 2) AS total_value, round(sum(CASE WHEN {OURS} THEN {V} ELSE 0 END), 2) AS our_value, {n_if(OURS)} AS our_wins, count(DISTINCT winner) AS suppliers, count(DISTINCT buyer) AS buyers, min(award_date) AS history_from FROM awards)", A)
 
 # dashboard
 SEEN7, SEEN14 = "first_seen >= :asof - INTERVAL '7' DAY", "first_seen < :asof - INTERVAL '7' DAY AND first_seen >= :asof - INTERVAL '14' DAY"
