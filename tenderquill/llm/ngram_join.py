@@ -14,9 +14,9 @@ shingles in 65,536 hash buckets, so passages that many documents share are last
 in that order and seldom get into lists.
 
 Lists of large groups of near copies are not expanded into all pairs. In ROUNDS
-rounds, each set is paired with the first and the previous set of each list,
-under another order each time, and verified; sets already connected are not
-paired again. What is left, pairs of sets in different components that share a
+rounds, each set is paired with those two of the first and the previous sets of
+its lists, under another order each time, that share most lists with it, and
+verified; sets already connected are not paired again. What is left, pairs of sets in different components that share a
 list, is then joined completely, so no link between components is lost. In each
 step a pair must share as many list entries as its sizes demand before the whole
 sets are fetched and compared.
@@ -200,11 +200,14 @@ def _enough(pairs: DataFrame, light: int) -> DataFrame:
     meet in a single subset.
     """
     k = F.when(F.greatest("na", "nb") <= light, 1).otherwise(_need(F.col("na"), F.col("nb")) - F.greatest(_least(F.col("na")), _least(F.col("nb"))) + 1)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("k") >= k).select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("k") >= k).select("a", "b", "k")
 
 
-def _ordered(x: Column, nx: Column, y: Column, ny: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, nx).otherwise(ny).alias("na"), F.when(x < y, ny).otherwise(nx).alias("nb")]
+def _closest(near: DataFrame, light: int, partners: int = 2) -> DataFrame:
+    """Pairs (a, b) of each sig with the others it meets most often, among those it meets often enough."""
+    met = _enough(near.select(F.col("sig").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("other_n").alias("nb")), light)
+    best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), False), 1, partners).alias("best"))
+    return best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(documents: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -269,7 +272,7 @@ def link_components(documents: DataFrame) -> DataFrame:
         near = posted.select("sig", "n", "pos", "label", F.array(F.lag(here).over(w), F.first(here).over(w)).alias("others"))
         near = near.select("sig", "n", "pos", "label", F.explode(F.array_distinct("others")).alias("o"))
         near = near.where(F.col("o").isNotNull() & (F.col("o.label") != F.col("label")) & _fits(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
-        pairs = materialize(_enough(near.select(*_ordered(F.col("sig"), F.col("n"), F.col("o.sig"), F.col("o.n"))), light), "ngram-pairs")
+        pairs = materialize(_closest(near.select("sig", "n", F.col("o.sig").alias("other"), F.col("o.n").alias("other_n")), light), "ngram-pairs")
         found = materialize(_verify(rows, owners, pairs), "ngram-links")
         links = found if links is None else links.unionByName(found)
         posted = _relabelled(posted, components(links, 3))
@@ -279,7 +282,7 @@ def link_components(documents: DataFrame) -> DataFrame:
     x, y = posted.alias("x"), posted.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
     met = met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    pairs = materialize(_enough(met, light), "ngram-rest")
+    pairs = materialize(_enough(met, light).select("a", "b"), "ngram-rest")
     if pairs.limit(1).count():
         links = links.unionByName(materialize(_verify(rows, owners, pairs), "ngram-links"))
     labels = components(links)
