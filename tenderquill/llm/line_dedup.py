@@ -31,6 +31,8 @@ kept, but for those named as the added ones.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -43,7 +45,10 @@ BUCKETS = 1 << 16
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACES), lambda w: w != "")
+    """Lower-cased words; most lines have spaces only, which need no regular expression."""
+    low = F.lower(line)
+    odd = functools.reduce(lambda a, b: a | b, (low.contains(x) for x in "\t\x0b\x0c\r\n"))
+    return F.array_remove(F.when(odd, F.split(low, SPACES)).otherwise(F.split(low, " ")), "")
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -51,9 +56,9 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), -2 - F.shiftrightunsigned(F.xxhash64(text), 2))
 
 
-def rarity_ranks(lines: DataFrame, line_col: str = "line") -> list[int]:
+def rarity_ranks(documents: DataFrame) -> list[int]:
     """Rank of each bucket of word hashes, rarest first."""
-    words = lines.select(F.explode(F.split(F.lower(F.col(line_col)), SPACES)).alias("w"))
+    words = documents.select(F.explode(F.split(F.lower(F.col("text")), SPACES)).alias("w"))
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket")).count().collect()
     n = [0] * BUCKETS
     for r in counts:
@@ -89,7 +94,8 @@ def line_table(documents: DataFrame, ranks: list[int], t: float, min_words: int)
         F.xxhash64("text").alias("th"),
         F.posexplode(F.split("text", "\n")).alias("ln", "line"),
     )
-    words = lines.select("late", "dk", "th", "ln", ordered_words(F.col("line"), ranks).alias("w")).where(F.size("w") >= min_words)
+    # through a generator, so that the filter isn't pushed below and the words are made once
+    words = lines.select("late", "dk", "th", "ln", F.explode(F.array(ordered_words(F.col("line"), ranks))).alias("w")).where(F.size("w") >= min_words)
     n = F.size("w")
     return words.select(
         "late", "dk", "th", "ln",
@@ -113,8 +119,8 @@ def _fetch(documents: DataFrame, wanted: DataFrame, ranks: list[int]) -> DataFra
     """dk, ln, words of the wanted (dk, ln) lines."""
     per = wanted.groupBy("dk").agg(F.collect_set("ln").alias("lns"))
     docs = documents.select(_key(F.col("doc_id"), F.col("text")).alias("dk"), "text")
-    found = docs.join(per, "dk").select("dk", F.split("text", "\n").alias("lines"), F.explode("lns").alias("ln"))
-    return found.select("dk", "ln", F.get("lines", F.col("ln")).alias("line")).where("line IS NOT NULL").select("dk", "ln", ordered_words(F.col("line"), ranks).alias("w"))
+    found = docs.join(per.hint("merge"), "dk").select("dk", F.split("text", "\n").alias("lines"), F.explode("lns").alias("ln"))
+    return found.select("dk", "ln", F.explode(F.array(F.get("lines", F.col("ln")))).alias("line")).where("line IS NOT NULL").select("dk", "ln", ordered_words(F.col("line"), ranks).alias("w"))
 
 
 def _verify(documents: DataFrame, pairs: DataFrame, ranks: list[int], t: float) -> DataFrame:
@@ -171,7 +177,7 @@ def similar_sets(documents: DataFrame, lines: DataFrame, ranks: list[int], t: fl
 
 def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """documents with text less removed lines, n_lines and n_removed."""
-    ranks = rarity_ranks(documents.select(F.explode(F.split("text", "\n")).alias("line")))
+    ranks = rarity_ranks(documents)
     lines = materialize(line_table(documents, ranks, threshold, min_words), "lines")
     bad = materialize(similar_sets(documents, lines, ranks, threshold).withColumn("similar", F.lit(True)), "line-sets")
     free_shuffles(documents.sparkSession)
@@ -184,7 +190,7 @@ def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, min_words: i
     split = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
     cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(split, k)), "\n"))
-    out = documents.join(per, key, "left")
+    out = documents.join(per.hint("merge"), key, "left")
     return out.select(
         *(cleaned.alias(c) if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")),
         F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),
