@@ -99,13 +99,8 @@ def _items(d: Data) -> DataFrame:
     return lk.items_of(d.table("part").select(c("p_partkey").cast("string").alias("item"), F.concat("p_name", F.lit(" supply and repair")).alias("description"), F.lit("NATION_1 BUILDING").alias("department"), F.lit("1998-07-01").alias("submission_date")))
 
 
-def _corpus(d: Data) -> DataFrame:
-    one = d.notices.where("title IS NOT NULL").groupBy("title").agg(F.min_by("uid", "seq").alias("uid"))
-    return d.notices.join(one.select("uid"), "uid", "left_semi")
-
-
-query("x7_reconcile", lambda d: lk.reconcile(_items(d), _corpus(d)).drop("matches"))
-query("a27_reconcile_summary", lambda d: lk.summary(lk.reconcile(_items(d), _corpus(d))))
+query("x7_reconcile", lambda d: lk.reconcile(_items(d), d.notices).drop("matches"))
+query("a27_reconcile_summary", lambda d: lk.summary(lk.reconcile(_items(d), d.notices)))
 query("x8_unmatched", lambda d: lk.unmatched(d.notices, d.awards.select(c("tender_no").alias("uid")), "1996-01-01", None, limit=200).select("uid", "fit_score"), "SELECT uid, fit_score FROM (SELECT uid, fit_score, row_number() OVER (PARTITION BY substr(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '', 'g'), 1, 70), substr(regexp_replace(lower(buyer), '[^a-z0-9]+', '', 'g'), 1, 30) ORDER BY fit_score DESC, uid) AS k FROM notices WHERE lane IN ('Core', 'Partner-led') AND dup_of IS NULL AND coalesce(advertised, CAST(first_seen AS DATE)) >= DATE '1996-01-01' AND uid NOT IN (SELECT tender_no FROM awards)) WHERE k = 1 ORDER BY fit_score DESC, uid LIMIT 200", N, A)
 
 # pages
