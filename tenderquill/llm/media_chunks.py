@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, shared_dir, table
+from .common import materialize, shared_dir, table
 
 BLOCK, RATE = 192, 16_000
 REACH, LEAST, MOST = 32, 8192, 65_536
@@ -178,8 +178,6 @@ def store_media(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = f"media_store_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     store.write.bucketBy(buckets, "digest").sortBy("digest").option("path", f"{shared_dir(spark)}/tenderquill/{name}").option("compression", "none").saveAsTable(name)
-    del store
-    free_shuffles(spark)
     return manifest, spark.table(name)
 
 

@@ -13,16 +13,34 @@ over the measured histogram of set sizes. Rarity comes from counts of all
 shingles in 65,536 hash buckets, so passages that many documents share are last
 in that order and seldom get into lists.
 
-Lists of large groups of near copies are not expanded into all pairs. In ROUNDS
-rounds, each set is paired with those two of the first and the previous sets of
-its lists, under another order each time, that share most lists with it, and
-verified; sets already connected are not paired again. What is left, pairs of sets in different components that share a
-list, is then joined completely, so no link between components is lost. In each
-step a pair must share as many list entries as its sizes demand before the whole
-sets are fetched and compared.
+Two linked sets differ in at most (a + b) / 7 elements. Each set has a parity of
+PARITY bits, in which every element flips one: differing bits are never more than
+differing elements, so most pairs that don't link are seen from these alone.
+
+Lists are worked off without expanding groups of near copies into pairs:
+
+1. In each of ROUNDS rounds every list is compared with one pivot, the entry of
+   the smallest place; these pairs are verified, the pivot leaves the list, and
+   lists whose sets are all connected by now go. Work is linear in the entries,
+   and lists of up to ROUNDS + 1 sets are done.
+2. What is left of lists of up to LONG entries is joined pair by pair.
+3. Longer lists get a pivot P once more, and their sets are joined by what they
+   differ from it in. With l elements of P that A lacks and x that it adds, let
+   u = 100 l + 75 x. A links with P when u(A) <= 25 |P|, and A with B when they
+   share (u(A) + u(B) - 25 |P|) / 175 of their differences. Two sets that link
+   with P are connected already. For all others this is a set join with a high
+   threshold: the added elements, rare ones first, then the lacking ones, have
+   prefixes in which any two linked sets share an element, shorter the further
+   the partner is from P (CLASSES steps). So an edit that few sets share is what
+   brings two sets together, not the text that all of them share.
+
+Every pair that can link is thus verified on its elements or lies within one
+component, and no link between components is lost.
 
 Nothing but 65,536 bucket counts and a histogram of small sizes reaches the
-driver; all loops keep their state in the shared folder.
+driver; all loops keep their state in the shared folder. A set is one array, so a
+text must fit into memory several times over (8 bytes a shingle); Arrow batches
+end by bytes.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with
 nothing and are their own component; a text of fewer than 5 words is one shingle;
@@ -33,6 +51,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -43,12 +62,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import UPPER, free_shuffles, materialize, table
+from .common import UPPER, materialize, table
 from .decontaminate import BASE, _mix, grams, words
 
 SHINGLE, PERCENT = 5, 75
 BUCKETS, CHUNK = 1 << 16, 1 << 10
-LARGEST_LIGHT, SCAN_COST, ROUNDS = 12, 4, 3
+#: Sets of more shingles are never light: their subsets alone cost more than any list.
+LIGHT_SIZES, SCAN_COST = 24, 4
+PARITY, ROUNDS, LONG, CLASSES = 1024, 3, 128, 8
 SALT = np.uint64(0xA0761D6478BD642F)
 TRANSLATION = bytes(ord(chr(b).lower()) if chr(b) in UPPER else 0x20 if 9 <= b <= 13 else b for b in range(256))
 
@@ -68,6 +89,12 @@ def signature(s: np.ndarray) -> int:
     return int(_mix(np.array([x]))[0].astype(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits as longs; every element flips one."""
+    bits = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def least_share(n: int) -> int:
     """Least overlap of a set of n with any set it links with."""
     return -(-PERCENT * n // 100)
@@ -99,26 +126,27 @@ def boundary(histogram: dict[int, int]) -> int:
                 total += sets * SCAN_COST * prefix_size(n)
         return total
 
-    return min(range(LARGEST_LIGHT + 1), key=lambda k: (cost(k), k))
+    return min(range(LIGHT_SIZES + 1), key=lambda k: (cost(k), k))
 
 
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row (dk, doc_id, n, sig) for each document; then the counts of shingle buckets, in chunks."""
+    """A row (dk, doc_id, n, sig, parity) for each document; then the counts of shingle buckets, in chunks."""
     counts = np.zeros(BUCKETS, np.int64)
     part = int(np.random.default_rng().integers(64))  # only spreads the sums
     empty = np.zeros(0, np.int64)
     for pdf in batches:
-        n, sig = [], []
+        n, sig, bits = [], [], []
         for t in pdf["text"]:
             s = shingle_set(t)
             n.append(len(s))
             sig.append(signature(s))
+            bits.append(parity(s))
             counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if len(s) > 2000 else 0
             if len(s) <= 2000:
                 np.add.at(counts, (s >> np.uint64(48)).astype(np.int64), 1)
-        yield pd.DataFrame({"dk": pdf["dk"], "doc_id": pdf["doc_id"], "n": n, "sig": sig, "chunk": -1, "part": 0, "counts": [empty] * len(n)})
+        yield pd.DataFrame({"dk": pdf["dk"], "doc_id": pdf["doc_id"], "n": n, "sig": sig, "parity": bits, "chunk": -1, "part": 0, "counts": [empty] * len(n)})
     chunks = BUCKETS // CHUNK
-    yield pd.DataFrame({"dk": 0, "doc_id": None, "n": 0, "sig": 0, "chunk": range(chunks), "part": part, "counts": list(counts.reshape(chunks, CHUNK))})
+    yield pd.DataFrame({"dk": 0, "doc_id": None, "n": 0, "sig": 0, "parity": [empty] * chunks, "chunk": range(chunks), "part": part, "counts": list(counts.reshape(chunks, CHUNK))})
 
 
 def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +167,6 @@ def rarity_ranks(counted: DataFrame) -> np.ndarray:
 def _post(ranks, light: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank, seen = ranks.value, set()
-        low = np.uint64((1 << 48) - 1)
         for pdf in batches:
             tokens, sigs, sizes, places = [], [], [], []
             for t in pdf["text"]:
@@ -159,7 +186,7 @@ def _post(ranks, light: int):
                             own.append(x)
                     pos = [0] * len(own)
                 if n > light or n >= least_share(light + 1):
-                    order = np.sort((rank[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (s & low))[: prefix_size(n)]
+                    order = ordered(s, rank)[: prefix_size(n)]
                     own = np.concatenate([np.array(own, np.uint64), order])
                     pos = np.concatenate([np.array(pos, np.int32), np.arange(len(order), dtype=np.int32)])
                 tokens.append(np.asarray(own, np.uint64))
@@ -172,53 +199,70 @@ def _post(ranks, light: int):
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [shingle_set(t) for t in pdf["text"]]
-        yield pd.DataFrame({"sig": [signature(s) for s in found], "elements": [s.view(np.int64) for s in found]})
-
+def ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The set's elements as numbers that sort by rarity, sorted; one-to-one."""
+    return np.sort((rank[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (s & np.uint64((1 << 48) - 1)))
 
-def _need(a: Column, b: Column) -> Column:
-    return F.ceil((a + b) * PERCENT / (100 + PERCENT) - 1e-9)
 
+def _sets(ranks):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingle_set(t) for t in pdf["text"]]
+            yield pd.DataFrame({"sig": [signature(s) for s in found], "elements": [ordered(s, ranks.value).view(np.int64) for s in found]})
 
-def _least(n: Column) -> Column:
-    return F.ceil(n * PERCENT / 100 - 1e-9)
+    return run
 
 
 def _fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
     """Length and positional filters."""
     most = F.least(pa, pb) + F.least(na - pa, nb - pb)
-    return (F.least(na, nb) >= F.greatest(na, nb) * PERCENT / 100 - 1e-9) & (most >= _need(na, nb))
+    need = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
+    return (F.least(na, nb) >= F.greatest(na, nb) * PERCENT / 100 - 1e-9) & (most >= need)
 
 
-def _enough(pairs: DataFrame, light: int) -> DataFrame:
-    """Pairs (a, b, na, nb) that occur as often as two linked sets of their sizes share list entries.
+def _alike(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """Whether parities differ in no more bits than linked sets may in elements."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return differ * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)
 
-    Common elements up to the smaller of two last prefix elements are in both
-    prefixes; the rest of that set is ceil(3n / 4) - 1 elements. Light pairs may
-    meet in a single subset.
-    """
-    k = F.when(F.greatest("na", "nb") <= light, 1).otherwise(_need(F.col("na"), F.col("nb")) - F.greatest(_least(F.col("na")), _least(F.col("nb"))) + 1)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("k") >= k).select("a", "b", "k")
 
+class Corpus:
+    """Texts, one row for each distinct set, and the order of rarity."""
 
-def _closest(near: DataFrame, light: int, partners: int = 2) -> DataFrame:
-    """Pairs (a, b) of each sig with the others it meets most often, among those it meets often enough."""
-    met = _enough(near.select(F.col("sig").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("other_n").alias("nb")), light)
-    best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), False), 1, partners).alias("best"))
-    return best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def __init__(self, rows: DataFrame, owners: DataFrame, ranks) -> None:
+        self.rows, self.owners, self.ranks = rows, owners, ranks
 
+    def elements(self, wanted: DataFrame) -> DataFrame:
+        """sig, elements (rare ones first) of the wanted sigs."""
+        texts = self.rows.join(self.owners.join(wanted.distinct(), "sig").select("dk").distinct(), "dk").select("text")
+        return materialize(texts.mapInPandas(_sets(self.ranks), "sig long, elements array<long>").dropDuplicates(["sig"]), "ngram-sets")
 
-def _verify(documents: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    texts = documents.join(owners.join(wanted, "sig").select("dk").distinct(), "dk").select("text")
-    sets = materialize(texts.mapInPandas(_sets, "sig long, elements array<long>").dropDuplicates(["sig"]), "ngram-sets")
-    a, b = (sets.select(F.col("sig").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(shared * 100 >= (F.size("a_set") + F.size("b_set") - shared) * PERCENT).select("a", "b")
+    def parities(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) that may link by their parities, written."""
+        a, b = (self.owners.select(F.col("sig").alias(x), F.col("parity").alias(f"{x}_parity")) for x in "ab")
+        some = pairs.join(a, "a").join(b, "b").where(_alike(F.col("a_parity"), F.col("b_parity"), F.col("na"), F.col("nb")))
+        return materialize(some.select("a", "b"), "ngram-pairs")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, written."""
+        sets = self.elements(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))))
+        a, b = (sets.select(F.col("sig").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b")
+        shared = F.size(F.array_intersect("a_set", "b_set"))
+        return materialize(both.where(shared * 100 >= (F.size("a_set") + F.size("b_set") - shared) * PERCENT).select("a", "b"), "ngram-links")
+
+
+def _pair(x: str, y: str, nx: str, ny: str) -> list[Column]:
+    """a, b, na, nb with a < b of sigs x, y and sizes nx, ny."""
+    first = F.col(x) < F.col(y)
+    either = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return [either(x, y).alias("a"), either(y, x).alias("b"), either(nx, ny).alias("na"), either(ny, nx).alias("nb")]
+
+
+def _with_pivot(lists: DataFrame) -> DataFrame:
+    """Entries beside the entry p of the smallest place in their list, without that entry itself."""
+    pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "sig", "n", "label")).alias("p"))
+    return lists.join(pivots, "token").where("sig <> p.sig")
 
 
 def components(links: DataFrame, steps: int = 1000) -> DataFrame:
@@ -239,56 +283,98 @@ def components(links: DataFrame, steps: int = 1000) -> DataFrame:
     return labels
 
 
-def _relabelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of lists in which more than one component is left."""
-    w = Window.partitionBy("token")
-    rows = postings.drop("label").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    rows = rows.select("*", F.min("label").over(w).alias("lo"), F.max("label").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
-    return materialize(rows, "ngram-postings")
-
-
-def link_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Entries of lists with more than one component left, with their list's length; written."""
+    lists = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length")).where("lo <> hi").select("token", "length")
+    return materialize(entries.select("token", "sig", "n", "pos", "label").join(lists, "token"), "ngram-postings")
+
+
+def _round(corpus: Corpus, lists: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Compares each list with its pivot: lists without them, and all links so far."""
+    met = _with_pivot(lists).where(F.col("label") != F.col("p.label")).where(_fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
+    pairs = corpus.parities(met.select(*_pair("sig", "p.sig", "n", "p.n")).distinct())
+    found = corpus.verified(pairs)
+    links = found if links is None else links.unionByName(found)
+    rest = _with_pivot(lists).drop("label", "p").join(components(links, 3), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    return _mixed(rest), links
+
+
+def _short_pairs(corpus: Corpus, lists: DataFrame) -> DataFrame:
+    """Pairs that may link within each list."""
+    rows = lists.join(corpus.owners.select("sig", "parity"), "sig")
+    x, y = rows.alias("x"), rows.alias("y")
+    at = lambda s, c: F.col(f"{s}.{c}")
+    fits = _fits(at("x", "n"), at("x", "pos"), at("y", "n"), at("y", "pos")) & _alike(at("x", "parity"), at("y", "parity"), at("x", "n"), at("y", "n"))
+    met = x.join(y, (at("x", "token") == at("y", "token")) & (at("x", "sig") < at("y", "sig")) & (at("x", "label") != at("y", "label")) & fits)
+    return materialize(met.select(at("x", "sig").alias("a"), at("y", "sig").alias("b")).distinct(), "ngram-pairs")
+
+
+def differences(corpus: Corpus, lists: DataFrame) -> DataFrame:
+    """pivot, bound (25 |pivot|), sig, n, label, u and differing elements d of the sets in each list against its pivot."""
+    members = materialize(_with_pivot(lists).select(F.col("p.sig").alias("pivot"), "sig", "n", "label").distinct(), "ngram-members")
+    sets = corpus.elements(members.select("sig").unionByName(members.select(F.col("pivot").alias("sig"))))
+    rows = members.join(sets, "sig").join(sets.select(F.col("sig").alias("pivot"), F.col("elements").alias("whole")), "pivot")
+    rows = rows.select("pivot", "sig", "n", "label", F.size("whole").alias("p"), F.array_except("elements", "whole").alias("adds"), F.array_except("whole", "elements").alias("lacks"))
+    u = F.size("lacks") * 100 + F.size("adds") * PERCENT
+    return materialize(rows.select("pivot", (F.col("p") * (100 - PERCENT)).alias("bound"), "sig", "n", "label", u.alias("u"), F.concat("adds", "lacks").alias("d")), "ngram-differences")
+
+
+def _prefix(shared_times: Column) -> Column:
+    """The first differences, among which any partner has one that shares shared_times / (100 + PERCENT) of them."""
+    least = F.greatest(F.ceil(shared_times / (100 + PERCENT) - 1e-9).cast("int"), F.lit(1))
+    return F.slice("d", 1, F.greatest(F.size("d") - least + 1, F.lit(0)))
+
+
+def _long_pairs(corpus: Corpus, diff: DataFrame) -> DataFrame:
+    """Pairs that may link, not both of them with the pivot."""
+    u, bound = F.col("u"), F.col("bound")
+    step = F.when(u > bound, F.least(F.floor((u - bound) * CLASSES / bound).cast("int"), F.lit(2 * CLASSES))).otherwise(0)
+    # the further set of a pair: a partner has u of .75 (u - bound) at least, as it must share that much
+    far = diff.where(u > bound).select("pivot", "sig", "n", "label", "u", step.alias("class"), F.explode(_prefix(u + F.ceil((u - bound) * PERCENT / 100) - bound)).alias("e"))
+    near = diff.select("*", F.explode(F.sequence(step, F.lit(2 * CLASSES))).alias("class"))
+    near = near.select("pivot", "sig", "n", "label", "u", "class", F.explode(_prefix(u + F.greatest(F.ceil(bound + F.col("class") * bound / CLASSES), u) - bound)).alias("e"))
+    x, y = far.alias("x"), near.alias("y")
+    same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.e") == F.col("y.e"))
+    nearer = (F.col("y.u") < F.col("x.u")) | ((F.col("y.u") == F.col("x.u")) & (F.col("y.sig") < F.col("x.sig")))
+    met = x.join(y, same & nearer & (F.col("x.label") != F.col("y.label")))
+    return corpus.parities(met.select(*_pair("x.sig", "y.sig", "x.n", "y.n")).distinct())
+
+
+def link_components(documents: DataFrame, rounds: int = ROUNDS, long: int = LONG) -> DataFrame:
+    """doc_id, n_shingles, component_id. rounds and long only move work between the ways of the module's text."""
     spark = documents.sparkSession
     rows = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), -2 - F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    survey = materialize(rows.mapInPandas(_survey, "dk long, doc_id long, n int, sig long, chunk int, part int, counts array<long>"), "ngram-survey")
+    survey = materialize(rows.mapInPandas(_survey, "dk long, doc_id long, n int, sig long, parity array<long>, chunk int, part int, counts array<long>"), "ngram-survey")
     sets = survey.where("chunk < 0").select("dk", "doc_id", "n", "sig")
-    owners = sets.where("n > 0").groupBy("sig").agg(F.min("dk").alias("dk"), F.max("n").alias("n"))
-    histogram = {r["n"]: r["count"] for r in owners.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").count().collect()}
+    owners = survey.where("chunk < 0 AND n > 0").groupBy("sig").agg(F.min("dk").alias("dk"), F.max("n").alias("n"), F.first("parity").alias("parity"))
+    owners = materialize(owners, "ngram-owners")
+    histogram = {r["n"]: r["count"] for r in owners.where(F.col("n") <= 2 * LIGHT_SIZES).groupBy("n").count().collect()}
     light = boundary(histogram)
     ranks = spark.sparkContext.broadcast(rarity_ranks(survey.where("chunk >= 0").select("chunk", "part", "counts")))
+    corpus = Corpus(rows, owners, ranks)
     posted = rows.select("text").mapInPandas(_post(ranks, light), "token long, sig long, n int, pos int")
     by_sig, whole = Window.partitionBy("token").orderBy("sig"), Window.partitionBy("token")
     posted = posted.select("*", F.lag("sig").over(by_sig).alias("last"), F.min("sig").over(whole).alias("lo"), F.max("sig").over(whole).alias("hi"))
-    posted = posted.where("lo <> hi AND (last IS NULL OR last <> sig)").select("token", "sig", "n", "pos", F.col("sig").alias("label"))
-    posted = materialize(posted, "ngram-postings")
-    free_shuffles(spark)
+    lists = _mixed(materialize(posted.where("lo <> hi AND (last IS NULL OR last <> sig)").select("token", "sig", "n", "pos", F.col("sig").alias("label")), "ngram-lists"))
     links = None
-    for r in range(ROUNDS):
-        w = Window.partitionBy("token").orderBy(F.xxhash64("sig", F.lit(r)), "sig")
-        here = F.struct("sig", "n", "pos", "label")
-        near = posted.select("sig", "n", "pos", "label", F.array(F.lag(here).over(w), F.first(here).over(w)).alias("others"))
-        near = near.select("sig", "n", "pos", "label", F.explode(F.array_distinct("others")).alias("o"))
-        near = near.where(F.col("o").isNotNull() & (F.col("o.label") != F.col("label")) & _fits(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
-        pairs = materialize(_closest(near.select("sig", "n", F.col("o.sig").alias("other"), F.col("o.n").alias("other_n")), light), "ngram-pairs")
-        found = materialize(_verify(rows, owners, pairs), "ngram-links")
-        links = found if links is None else links.unionByName(found)
-        posted = _relabelled(posted, components(links, 3))
-        free_shuffles(spark)
-        if not posted.limit(1).count():
+    for _ in range(rounds):
+        if not lists.limit(1).count():
             break
-    x, y = posted.alias("x"), posted.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    met = met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    pairs = materialize(_enough(met, light).select("a", "b"), "ngram-rest")
-    if pairs.limit(1).count():
-        links = links.unionByName(materialize(_verify(rows, owners, pairs), "ngram-links"))
-    labels = components(links)
-    free_shuffles(spark)
+        lists, links = _round(corpus, lists, links)
+    found = [] if links is None else [links]
+    short, over = lists.where(F.col("length") <= long), lists.where(F.col("length") > long)
+    if short.limit(1).count():
+        found.append(corpus.verified(_short_pairs(corpus, short)))
+    if over.limit(1).count():
+        diff = differences(corpus, over)
+        found += [diff.where("u <= bound").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")), corpus.verified(_long_pairs(corpus, diff))]
+    if not found:
+        found = [owners.where("false").select(F.col("sig").alias("a"), F.col("sig").alias("b"))]
+    labels = components(functools.reduce(DataFrame.unionByName, found))
     named = sets.where("n > 0").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "ngram-least")
     return (
         named.join(least, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
         .unionByName(sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -324,6 +324,32 @@ def test_components_match_brute_force(spark, texts):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize(("rounds", "long"), [(0, 1), (1, 2), (0, 1000), (3, 1)])
+def test_near_copies_about_the_threshold(spark, rounds, long):
+    body = prose(60)
+    near = [edited(body, s) for s in (0.01, 0.02, 0.03, 0.04, 0.06, 0.08) for _ in range(12)]
+    two = [edited(body + " " + prose(8), 0.03) for _ in range(10)] + [edited(body.rsplit(" ", 9)[0], 0.02) for _ in range(10)]
+    rows = list(enumerate([*near, *two, *(edited(prose(40), 0.02) for _ in range(5))]))
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOC)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(df, rounds, long).collect()}
+    want = brute_components(rows)
+    assert got == want and 3 < len({c for _, c in want.values()}) < len(rows) - 10
+
+
+def test_candidates_grow_with_the_group(spark):
+    """Pairs to verify among near copies just below the threshold: fewer than copies, of 44,850 and 404,550 pairs."""
+    body = prose(150).split()
+    for size in (300, 900):
+        r = np.random.default_rng(size)
+        texts = [" ".join(f"x{r.integers(1 << 40)}" if k in at else w for k, w in enumerate(body)) for at in (set(r.choice(150, 4, replace=False)) for _ in range(size))]
+        seen = [ngram_join.shingle_set(t) for t in texts]
+        rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+        owners = spark.createDataFrame([(k, ngram_join.signature(s), len(s), ngram_join.parity(s).tolist()) for k, s in enumerate(seen)], "dk long, sig long, n int, parity array<long>")
+        corpus = ngram_join.Corpus(rows.withColumnRenamed("doc_id", "dk"), owners, spark.sparkContext.broadcast(np.zeros(ngram_join.BUCKETS, np.uint64)))
+        lists = owners.select(F.lit(1).alias("token"), "sig", "n", F.lit(0).alias("pos"), F.col("sig").alias("label"), F.lit(size).alias("length"))
+        assert ngram_join._long_pairs(corpus, ngram_join.differences(corpus, lists)).count() <= size
+
+
 def test_components_edges(spark, docs):
     out = ngram_join.link_components(docs)
     assert out.count() == docs.count()
@@ -337,4 +363,4 @@ def test_light_subsets_meet():
             share = ngram_join.need(a, b)
             if share <= a:
                 assert any(c <= share for c in set(ngram_join.subset_sizes(a)) & set(ngram_join.subset_sizes(b)))
-    assert ngram_join.boundary({}) == 0 and 4 <= ngram_join.boundary({n: 10 for n in range(1, 25)}) <= 12
+    assert ngram_join.boundary({}) == 0 and 4 <= ngram_join.boundary({n: 10 for n in range(1, 25)}) < ngram_join.LIGHT_SIZES
