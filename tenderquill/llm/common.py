@@ -32,8 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Shuffle files of a written table go as soon as it is written; Arrow batches end by bytes, too, so that long texts don't add up.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+#: Shuffle files of a written table go as soon as it is written; Arrow batches are small and end by bytes, too, so that long texts don't add up.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+#: Most rows of one long that are broadcast, 2 MB; more of them are joined by a shuffle.
+BROADCAST_KEYS = 1 << 18
 
 
 @contextlib.contextmanager
@@ -57,5 +63,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose long `key` is among keys, a written table of distinct ones: without moving rows while the keys are few, counted first."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge"), key, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,8 +11,8 @@ benchmark (64-bit hash, then a 128-bit digest of the words). Items of fewer than
 The benchmark side is cut into blocks of at most BLOCK_WORDS words by its
 measured size; each block is broadcast and joined map-side, one after the other,
 while a document's hits travel with it. So documents are never shuffled, and
-neither side has a size limit. The words of a text are hashed in pieces of a few
-MB, so long texts need little memory beyond their own.
+neither side has a size limit. The words of a text are hashed in pieces of
+128 KB, so long texts need little memory beyond their own.
 
 Defined cases: null or empty texts have no words and no hits; items without
 words or without id are ignored; repeated documents are judged alike, repeated
@@ -23,6 +23,7 @@ added ones, and ignored by the query.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -38,7 +39,8 @@ SPAN = GRAM + WINDOW - 1
 BLOCK_WORDS = 1_000_000
 #: Blocks that one stage joins, each in a Python worker of its own; more of them go by way of a written table.
 CHAIN = 4
-PIECE = 1 << 21
+PIECE_BITS = 17
+PIECE = 1 << PIECE_BITS
 
 
 def _word_bytes() -> bytes:
@@ -65,34 +67,41 @@ BYTE_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, BASE, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+@functools.lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, 2^bits of each."""
+    out = []
+    for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+        p = np.full(1 << bits, x, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 def words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of a translated buffer."""
+    """Starts, ends and hashes of the words of a translated buffer: sums of byte values times powers of BASE from the word's start."""
     starts, ends, hashes = [], [], []
     at = 0
     while at < len(buf):
         to = len(buf) if at + PIECE >= len(buf) else buf.find(b" ", at + PIECE)
         to = len(buf) if to < 0 else to
         arr = np.frombuffer(buf, np.uint8, to - at, at)
-        inside = arr != 0x20
-        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        inside = np.zeros(len(arr) + 2, bool)
+        np.not_equal(arr, 0x20, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
         s, e = edge[::2], edge[1::2]
         if len(s):
-            size = e - s
-            first = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(first, size)
-            value = BYTE_VALUES[arr[inside]] * _powers(int(size.max()))[place]
+            power, inverse = _powers(max(PIECE_BITS + 1, (len(arr) - 1).bit_length()))
+            total = np.zeros(len(arr) + 1, np.uint64)
+            np.cumsum(BYTE_VALUES[arr] * power[: len(arr)], out=total[1:])
             starts.append(s + at)
             ends.append(e + at)
-            hashes.append(_mix(np.add.reduceat(value, first)))
+            hashes.append(_mix((total[e] - total[s]) * inverse[s]))
         at = to
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(starts) == 1:
+        return starts[0], ends[0], hashes[0]
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 

@@ -14,8 +14,9 @@ shingles in 65,536 hash buckets, so passages that many documents share are last
 in that order and seldom get into lists.
 
 Two linked sets differ in at most (a + b) / 7 elements. Each set has a parity of
-PARITY bits, in which every element flips one: differing bits are never more than
-differing elements, so most pairs that don't link are seen from these alone.
+four bits an element, in which every element flips one, and the same folded to
+LEAST_PARITY bits: differing bits are never more than differing elements, so most
+pairs that don't link are seen from these alone.
 
 Lists are worked off without expanding groups of near copies into pairs:
 
@@ -62,14 +63,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import UPPER, materialize, table
+from .common import UPPER, materialize, table, with_keys
 from .decontaminate import BASE, _mix, grams, words
 
 SHINGLE, PERCENT = 5, 75
 BUCKETS, CHUNK = 1 << 16, 1 << 10
 #: Sets of more shingles are never light: their subsets alone cost more than any list.
 LIGHT_SIZES, SCAN_COST = 24, 4
-PARITY, ROUNDS, LONG, CLASSES = 1024, 3, 128, 8
+LEAST_PARITY, ROUNDS, LONG, CLASSES = 512, 3, 128, 8
 SALT = np.uint64(0xA0761D6478BD642F)
 TRANSLATION = bytes(ord(chr(b).lower()) if chr(b) in UPPER else 0x20 if 9 <= b <= 13 else b for b in range(256))
 
@@ -79,7 +80,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     if not isinstance(text, str):
         return np.zeros(0, np.uint64)
     h = words(text.encode().translate(TRANSLATION))[2]
-    return np.unique(grams(h, min(SHINGLE, len(h)))) if len(h) else h
+    if not len(h):
+        return h
+    g = np.sort(grams(h, min(SHINGLE, len(h))))
+    return g[np.concatenate(([True], g[1:] != g[:-1]))]
 
 
 def signature(s: np.ndarray) -> int:
@@ -89,10 +93,11 @@ def signature(s: np.ndarray) -> int:
     return int(_mix(np.array([x]))[0].astype(np.int64))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """PARITY bits as longs; every element flips one."""
-    bits = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray, bits: int = 0) -> np.ndarray:
+    """Bits as longs, of which every element flips one; four an element by default, LEAST_PARITY at least."""
+    bits = bits or max(LEAST_PARITY, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def least_share(n: int) -> int:
@@ -130,23 +135,25 @@ def boundary(histogram: dict[int, int]) -> int:
 
 
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row (dk, doc_id, n, sig, parity) for each document; then the counts of shingle buckets, in chunks."""
+    """A row (dk, doc_id, n, sig, parity, mini) for each document; then the counts of shingle buckets, in chunks."""
     counts = np.zeros(BUCKETS, np.int64)
     part = int(np.random.default_rng().integers(64))  # only spreads the sums
     empty = np.zeros(0, np.int64)
     for pdf in batches:
-        n, sig, bits = [], [], []
-        for t in pdf["text"]:
-            s = shingle_set(t)
-            n.append(len(s))
-            sig.append(signature(s))
-            bits.append(parity(s))
-            counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if len(s) > 2000 else 0
-            if len(s) <= 2000:
-                np.add.at(counts, (s >> np.uint64(48)).astype(np.int64), 1)
-        yield pd.DataFrame({"dk": pdf["dk"], "doc_id": pdf["doc_id"], "n": n, "sig": sig, "parity": bits, "chunk": -1, "part": 0, "counts": [empty] * len(n)})
+        if not len(pdf):
+            continue
+        found = [shingle_set(t) for t in pdf["text"]]
+        counts += np.bincount((np.concatenate(found) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+        yield pd.DataFrame(
+            {
+                "dk": pdf["dk"], "doc_id": pdf["doc_id"], "n": [len(s) for s in found], "sig": [signature(s) for s in found],
+                "parity": [parity(s) for s in found], "mini": [parity(s, LEAST_PARITY) for s in found], "chunk": -1, "part": 0, "counts": [empty] * len(found),
+            }
+        )
     chunks = BUCKETS // CHUNK
-    yield pd.DataFrame({"dk": 0, "doc_id": None, "n": 0, "sig": 0, "parity": [empty] * chunks, "chunk": range(chunks), "part": part, "counts": list(counts.reshape(chunks, CHUNK))})
+    yield pd.DataFrame(
+        {"dk": 0, "doc_id": None, "n": 0, "sig": 0, "parity": [empty] * chunks, "mini": [empty] * chunks, "chunk": range(chunks), "part": part, "counts": list(counts.reshape(chunks, CHUNK))}
+    )
 
 
 def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -220,10 +227,15 @@ def _fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
     return (F.least(na, nb) >= F.greatest(na, nb) * PERCENT / 100 - 1e-9) & (most >= need)
 
 
+def _differ(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
 def _alike(a: Column, b: Column, na: Column, nb: Column) -> Column:
-    """Whether parities differ in no more bits than linked sets may in elements."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return differ * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)
+    """Whether parities differ in no more bits than linked sets may in elements; the longer one, of twice the bits, is folded."""
+    k = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) == k, x).otherwise(F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), lambda p, q: p.bitwiseXOR(q)))
+    return _differ(fold(a), fold(b)) * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)
 
 
 class Corpus:
@@ -234,13 +246,16 @@ class Corpus:
 
     def elements(self, wanted: DataFrame) -> DataFrame:
         """sig, elements (rare ones first) of the wanted sigs."""
-        texts = self.rows.join(self.owners.join(wanted.distinct(), "sig").select("dk").distinct(), "dk").select("text")
+        keys = materialize(self.owners.select("sig", "dk").join(wanted.distinct(), "sig").select("dk").distinct(), "ngram-wanted")
+        texts = with_keys(self.rows, keys, "dk").select("text")
         return materialize(texts.mapInPandas(_sets(self.ranks), "sig long, elements array<long>").dropDuplicates(["sig"]), "ngram-sets")
 
     def parities(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) that may link by their parities, written."""
         a, b = (self.owners.select(F.col("sig").alias(x), F.col("parity").alias(f"{x}_parity")) for x in "ab")
-        some = pairs.join(a, "a").join(b, "b").where(_alike(F.col("a_parity"), F.col("b_parity"), F.col("na"), F.col("nb")))
+        # sizes of linked sets differ by a third at most, so one parity is as long as the other or twice
+        some = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).join(a, "a").join(b, "b")
+        some = some.where(_alike(F.col("a_parity"), F.col("b_parity"), F.col("na"), F.col("nb")))
         return materialize(some.select("a", "b"), "ngram-pairs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -301,12 +316,12 @@ def _round(corpus: Corpus, lists: DataFrame, links: DataFrame | None) -> tuple[D
 
 def _short_pairs(corpus: Corpus, lists: DataFrame) -> DataFrame:
     """Pairs that may link within each list."""
-    rows = lists.join(corpus.owners.select("sig", "parity"), "sig")
+    rows = lists.join(corpus.owners.select("sig", "mini"), "sig")
     x, y = rows.alias("x"), rows.alias("y")
     at = lambda s, c: F.col(f"{s}.{c}")
-    fits = _fits(at("x", "n"), at("x", "pos"), at("y", "n"), at("y", "pos")) & _alike(at("x", "parity"), at("y", "parity"), at("x", "n"), at("y", "n"))
+    fits = _fits(at("x", "n"), at("x", "pos"), at("y", "n"), at("y", "pos")) & (_differ(at("x", "mini"), at("y", "mini")) * (100 + PERCENT) <= (at("x", "n") + at("y", "n")) * (100 - PERCENT))
     met = x.join(y, (at("x", "token") == at("y", "token")) & (at("x", "sig") < at("y", "sig")) & (at("x", "label") != at("y", "label")) & fits)
-    return materialize(met.select(at("x", "sig").alias("a"), at("y", "sig").alias("b")).distinct(), "ngram-pairs")
+    return corpus.parities(met.select(at("x", "sig").alias("a"), at("y", "sig").alias("b"), at("x", "n").alias("na"), at("y", "n").alias("nb")).distinct())
 
 
 def differences(corpus: Corpus, lists: DataFrame) -> DataFrame:
@@ -346,16 +361,17 @@ def link_components(documents: DataFrame, rounds: int = ROUNDS, long: int = LONG
     rows = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), -2 - F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    survey = materialize(rows.mapInPandas(_survey, "dk long, doc_id long, n int, sig long, parity array<long>, chunk int, part int, counts array<long>"), "ngram-survey")
+    survey = materialize(rows.mapInPandas(_survey, "dk long, doc_id long, n int, sig long, parity array<long>, mini array<long>, chunk int, part int, counts array<long>"), "ngram-survey")
     sets = survey.where("chunk < 0").select("dk", "doc_id", "n", "sig")
-    owners = survey.where("chunk < 0 AND n > 0").groupBy("sig").agg(F.min("dk").alias("dk"), F.max("n").alias("n"), F.first("parity").alias("parity"))
+    owners = survey.where("chunk < 0 AND n > 0").groupBy("sig").agg(F.min("dk").alias("dk"), F.max("n").alias("n"), F.first("parity").alias("parity"), F.first("mini").alias("mini"))
     owners = materialize(owners, "ngram-owners")
     histogram = {r["n"]: r["count"] for r in owners.where(F.col("n") <= 2 * LIGHT_SIZES).groupBy("n").count().collect()}
     light = boundary(histogram)
     ranks = spark.sparkContext.broadcast(rarity_ranks(survey.where("chunk >= 0").select("chunk", "part", "counts")))
     corpus = Corpus(rows, owners, ranks)
     posted = rows.select("text").mapInPandas(_post(ranks, light), "token long, sig long, n int, pos int")
-    by_sig, whole = Window.partitionBy("token").orderBy("sig"), Window.partitionBy("token")
+    by_sig = Window.partitionBy("token").orderBy("sig")
+    whole = by_sig.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     posted = posted.select("*", F.lag("sig").over(by_sig).alias("last"), F.min("sig").over(whole).alias("lo"), F.max("sig").over(whole).alias("hi"))
     lists = _mixed(materialize(posted.where("lo <> hi AND (last IS NULL OR last <> sig)").select("token", "sig", "n", "pos", F.col("sig").alias("label")), "ngram-lists"))
     links = None

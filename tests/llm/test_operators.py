@@ -344,7 +344,7 @@ def test_candidates_grow_with_the_group(spark):
         texts = [" ".join(f"x{r.integers(1 << 40)}" if k in at else w for k, w in enumerate(body)) for at in (set(r.choice(150, 4, replace=False)) for _ in range(size))]
         seen = [ngram_join.shingle_set(t) for t in texts]
         rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-        owners = spark.createDataFrame([(k, ngram_join.signature(s), len(s), ngram_join.parity(s).tolist()) for k, s in enumerate(seen)], "dk long, sig long, n int, parity array<long>")
+        owners = spark.createDataFrame([(k, ngram_join.signature(s), len(s), ngram_join.parity(s).tolist(), ngram_join.parity(s, 512).tolist()) for k, s in enumerate(seen)], "dk long, sig long, n int, parity array<long>, mini array<long>")
         corpus = ngram_join.Corpus(rows.withColumnRenamed("doc_id", "dk"), owners, spark.sparkContext.broadcast(np.zeros(ngram_join.BUCKETS, np.uint64)))
         lists = owners.select(F.lit(1).alias("token"), "sig", "n", F.lit(0).alias("pos"), F.col("sig").alias("label"), F.lit(size).alias("length"))
         assert ngram_join._long_pairs(corpus, ngram_join.differences(corpus, lists)).count() <= size
