@@ -238,6 +238,11 @@ def _alike(a: Column, b: Column, na: Column, nb: Column) -> Column:
     return _differ(fold(a), fold(b)) * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)
 
 
+def _mini_alike(x: str, y: str) -> Column:
+    """The same by the folded parities of two sides of a join."""
+    return _differ(F.col(f"{x}.mini"), F.col(f"{y}.mini")) * (100 + PERCENT) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - PERCENT)
+
+
 class Corpus:
     """Texts, one row for each distinct set, and the order of rarity."""
 
@@ -319,19 +324,19 @@ def _short_pairs(corpus: Corpus, lists: DataFrame) -> DataFrame:
     rows = lists.join(corpus.owners.select("sig", "mini"), "sig")
     x, y = rows.alias("x"), rows.alias("y")
     at = lambda s, c: F.col(f"{s}.{c}")
-    fits = _fits(at("x", "n"), at("x", "pos"), at("y", "n"), at("y", "pos")) & (_differ(at("x", "mini"), at("y", "mini")) * (100 + PERCENT) <= (at("x", "n") + at("y", "n")) * (100 - PERCENT))
+    fits = _fits(at("x", "n"), at("x", "pos"), at("y", "n"), at("y", "pos")) & _mini_alike("x", "y")
     met = x.join(y, (at("x", "token") == at("y", "token")) & (at("x", "sig") < at("y", "sig")) & (at("x", "label") != at("y", "label")) & fits)
     return corpus.parities(met.select(at("x", "sig").alias("a"), at("y", "sig").alias("b"), at("x", "n").alias("na"), at("y", "n").alias("nb")).distinct())
 
 
 def differences(corpus: Corpus, lists: DataFrame) -> DataFrame:
-    """pivot, bound (25 |pivot|), sig, n, label, u and differing elements d of the sets in each list against its pivot."""
+    """pivot, bound (25 |pivot|), sig, n, label, mini, u and differing elements d of the sets in each list against its pivot."""
     members = materialize(_with_pivot(lists).select(F.col("p.sig").alias("pivot"), "sig", "n", "label").distinct(), "ngram-members")
     sets = corpus.elements(members.select("sig").unionByName(members.select(F.col("pivot").alias("sig"))))
-    rows = members.join(sets, "sig").join(sets.select(F.col("sig").alias("pivot"), F.col("elements").alias("whole")), "pivot")
-    rows = rows.select("pivot", "sig", "n", "label", F.size("whole").alias("p"), F.array_except("elements", "whole").alias("adds"), F.array_except("whole", "elements").alias("lacks"))
+    rows = members.join(sets, "sig").join(corpus.owners.select("sig", "mini"), "sig").join(sets.select(F.col("sig").alias("pivot"), F.col("elements").alias("whole")), "pivot")
+    rows = rows.select("pivot", "sig", "n", "label", "mini", F.size("whole").alias("p"), F.array_except("elements", "whole").alias("adds"), F.array_except("whole", "elements").alias("lacks"))
     u = F.size("lacks") * 100 + F.size("adds") * PERCENT
-    return materialize(rows.select("pivot", (F.col("p") * (100 - PERCENT)).alias("bound"), "sig", "n", "label", u.alias("u"), F.concat("adds", "lacks").alias("d")), "ngram-differences")
+    return materialize(rows.select("pivot", (F.col("p") * (100 - PERCENT)).alias("bound"), "sig", "n", "label", "mini", u.alias("u"), F.concat("adds", "lacks").alias("d")), "ngram-differences")
 
 
 def _prefix(shared_times: Column) -> Column:
@@ -345,13 +350,13 @@ def _long_pairs(corpus: Corpus, diff: DataFrame) -> DataFrame:
     u, bound = F.col("u"), F.col("bound")
     step = F.when(u > bound, F.least(F.floor((u - bound) * CLASSES / bound).cast("int"), F.lit(2 * CLASSES))).otherwise(0)
     # the further set of a pair: a partner has u of .75 (u - bound) at least, as it must share that much
-    far = diff.where(u > bound).select("pivot", "sig", "n", "label", "u", step.alias("class"), F.explode(_prefix(u + F.ceil((u - bound) * PERCENT / 100) - bound)).alias("e"))
+    far = diff.where(u > bound).select("pivot", "sig", "n", "label", "mini", "u", step.alias("class"), F.explode(_prefix(u + F.ceil((u - bound) * PERCENT / 100) - bound)).alias("e"))
     near = diff.select("*", F.explode(F.sequence(step, F.lit(2 * CLASSES))).alias("class"))
-    near = near.select("pivot", "sig", "n", "label", "u", "class", F.explode(_prefix(u + F.greatest(F.ceil(bound + F.col("class") * bound / CLASSES), u) - bound)).alias("e"))
+    near = near.select("pivot", "sig", "n", "label", "mini", "u", "class", F.explode(_prefix(u + F.greatest(F.ceil(bound + F.col("class") * bound / CLASSES), u) - bound)).alias("e"))
     x, y = far.alias("x"), near.alias("y")
     same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.e") == F.col("y.e"))
     nearer = (F.col("y.u") < F.col("x.u")) | ((F.col("y.u") == F.col("x.u")) & (F.col("y.sig") < F.col("x.sig")))
-    met = x.join(y, same & nearer & (F.col("x.label") != F.col("y.label")))
+    met = x.join(y, same & nearer & (F.col("x.label") != F.col("y.label")) & _mini_alike("x", "y"))
     return corpus.parities(met.select(*_pair("x.sig", "y.sig", "x.n", "y.n")).distinct())
 
 
