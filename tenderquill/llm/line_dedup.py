@@ -8,57 +8,69 @@ top bits, so sorting these numbers puts rare words first and stays one-to-one.
 1. Lines with equal sets are one set, standing at its first occurrence.
 2. Two sets of Jaccard similarity t share a word among the first
    n - ceil(t n) + 1 of each (prefix filter). These words are the postings.
-   A pair must also fit by length, by what can still follow after the places of
-   the shared word (positional filter), and by the parity of word bits: the
+   A pair must also fit by length, by what still follows at the first word that
+   both share (positional filter), and by the parity of word bits: the
    differing bits of two 64-bit parities are never more than differing words.
-3. First, each set is tried with the earliest and the previous set of each
-   posting list, which settles most near copies in linear work. Sets without a
-   match there are then joined with all earlier sets in their lists.
-4. Surviving pairs are verified on the words themselves, and every line that
+   Lists are sorted by length; an entry without a neighbour of fitting length
+   has no partner in its list and goes.
+3. First, each set is tried with the earliest set of each posting list and with
+   the one before it by length, which settles most near copies in linear work.
+   Sets without an earlier match there are then joined with all earlier sets in
+   their lists.
+4. Surviving pairs are verified on all their word hashes, and every line that
    isn't the first of its set, or whose set has an earlier match, is removed.
 
-Order is by (doc_id, line number), null doc_ids last by a hash of the text.
+Order is by (doc_id, hash of the text, line number), null doc_ids last; the same
+three and nothing less are a line's address throughout.
 
 Only the 65,536 bucket counts reach the driver. Posting lists of frequent words
-are short because frequent words come last.
+are short because frequent words come last. A text is one row wherever lines are
+cut out of it, so it must fit into memory several times over; its lines are rows
+of their own from there on.
 
 Defined cases: null text stays null, empty text stays empty; lines of fewer than
-MIN_WORDS distinct words are kept and match nothing; identical rows with one
-doc_id are one document and lose the same lines; rows with one doc_id and other
-texts are separate; an empty table gives no rows; extra columns are
+MIN_WORDS distinct words and MIN_CHARS characters are kept and match nothing,
+lines without words always; identical rows with one doc_id are one document and
+lose the same lines; rows with one doc_id and other texts are separate documents,
+the one of the smaller hash first; an empty table gives no rows; extra columns are
 kept, but for those named as the added ones.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, table
+from .common import materialize, table, with_keys
 
-THRESHOLD, MIN_WORDS = 0.9, 3
+THRESHOLD, MIN_WORDS, MIN_CHARS = 0.9, 3, 40
 SPACES = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
+#: Address of a line, in order.
+AT = ["late", "dk", "th", "ln"]
+ROW = [*AT, "n", "pos", "parity"]
 
 
-def line_words(line: Column) -> Column:
-    """Lower-cased words; most lines have spaces only, which need no regular expression."""
-    low = F.lower(line)
-    odd = functools.reduce(lambda a, b: a | b, (low.contains(x) for x in "\t\x0b\x0c\r\n"))
-    return F.array_remove(F.when(odd, F.split(low, SPACES)).otherwise(F.split(low, " ")), "")
+def plain(text: Column) -> Column:
+    """Lower-cased, with spaces for white space other than line ends; few texts need the regular expression."""
+    odd = functools.reduce(lambda a, b: a | b, (text.contains(x) for x in "\t\x0b\x0c\r"))
+    return F.lower(F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text))
 
 
-def _key(doc_id: Column, text: Column) -> Column:
-    """doc_id, or a negative number from the text where it is null."""
-    return F.coalesce(doc_id.cast("long"), -2 - F.shiftrightunsigned(F.xxhash64(text), 2))
+def address() -> list[Column]:
+    """Of a document: late (its id is null), dk (doc_id, or a negative number from the text) and th (hash of the text)."""
+    th = F.xxhash64("text")
+    return [F.col("doc_id").isNull().alias("late"), F.coalesce(F.col("doc_id").cast("long"), -2 - F.shiftrightunsigned(th, 2)).alias("dk"), th.alias("th")]
 
 
 def rarity_ranks(documents: DataFrame) -> list[int]:
     """Rank of each bucket of word hashes, rarest first."""
-    words = documents.select(F.explode(F.split(F.lower(F.col("text")), SPACES)).alias("w"))
+    lines = documents.select(F.explode(F.split(plain(F.col("text")), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).cast("int").alias("bucket")).count().collect()
     n = [0] * BUCKETS
     for r in counts:
@@ -70,15 +82,18 @@ def rarity_ranks(documents: DataFrame) -> list[int]:
 
 
 def ordered_words(line: Column, ranks: list[int]) -> Column:
-    """Distinct words as numbers, rare ones first."""
+    """Distinct words of a plain line as numbers, rare ones first."""
     # folded into one array literal when the plan is optimised
     table_ = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
     low = (1 << 48) - 1
-    hashes = F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
-    # ranks from 32,768 up would be negative numbers; the flip keeps their order
-    return F.sort_array(
-        F.transform(hashes, lambda h: F.shiftleft(F.get(table_, F.shiftrightunsigned(h, 48).cast("int")) - BUCKETS // 2, 48).bitwiseOR(h.bitwiseAND(F.lit(low))))
-    )
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # ranks from 32,768 up would be negative numbers; the flip keeps their order. Without nulls, longs are sorted as such
+    rank = lambda h: F.coalesce(F.get(table_, F.shiftrightunsigned(h, 48).cast("int")), F.lit(0)) - BUCKETS // 2
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 48).bitwiseOR(h.bitwiseAND(F.lit(low)))))
+
+
+def signature(words: Column) -> Column:
+    return F.struct(F.xxhash64(words).alias("h"), F.hash(words).alias("g"))
 
 
 def _required(n: Column, t: float) -> Column:
@@ -87,87 +102,91 @@ def _required(n: Column, t: float) -> Column:
 
 
 def line_table(documents: DataFrame, ranks: list[int], t: float, min_words: int) -> DataFrame:
-    """dk, th (hash of the text), ln, n, sig, parity and prefix of each line of min_words words or more."""
-    lines = documents.select(
-        _key(F.col("doc_id"), F.col("text")).alias("dk"),
-        F.col("doc_id").isNull().alias("late"),
-        F.xxhash64("text").alias("th"),
-        F.posexplode(F.split("text", "\n")).alias("ln", "line"),
-    )
+    """Address, n, sig, parity and prefix of each line that takes part."""
+    lines = documents.select(*address(), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("ln", "line"))
     # through a generator, so that the filter isn't pushed below and the words are made once
-    words = lines.select("late", "dk", "th", "ln", F.explode(F.array(ordered_words(F.col("line"), ranks))).alias("w")).where(F.size("w") >= min_words)
+    words = lines.select(*AT, F.length("line").alias("chars"), F.explode(F.array(ordered_words(F.col("line"), ranks))).alias("w"))
+    words = words.where((F.size("w") >= min_words) | ((F.col("chars") >= MIN_CHARS) & (F.size("w") > 0)))
     n = F.size("w")
     return words.select(
-        "late", "dk", "th", "ln",
+        *AT,
         n.alias("n"),
-        F.struct(F.xxhash64("w").alias("h"), F.hash("w").alias("g")).alias("sig"),
+        signature(F.col("w")).alias("sig"),
         F.aggregate("w", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("parity"),
         F.slice("w", 1, n - _required(n, t).cast("int") + 1).alias("prefix"),
-    )
+    )
 
 
 def _fits(a: dict[str, Column], b: dict[str, Column], t: float) -> Column:
-    """Length, positional and parity filters of a pair sharing a prefix word."""
-    lo, hi = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-    most = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
+    """Length, positional and parity filters of a pair, at the first word that both share."""
     need = F.ceil((a["n"] + b["n"]) * (t / (1 + t)) - 1e-9)
     differ = F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
-    return (lo >= hi * t - 1e-9) & (most >= need) & (differ <= a["n"] + b["n"] - 2 * need)
+    return _near(a["n"], b["n"], t) & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need) & (differ <= a["n"] + b["n"] - 2 * need)
+
+
+def _near(m: Column, n: Column, t: float) -> Column:
+    return (m >= n * t - 1e-9) & (n >= m * t - 1e-9)  # null where one of them is, which least() would not be
+
+
+def _at(row: dict[str, Column]) -> Column:
+    return F.struct(*(row[c] for c in AT))
+
+
+def _pair(first: Column, second: Column) -> list[Column]:
+    """Addresses of a pair: a's, the earlier, and b's."""
+    return [s[c].alias(f"{x}_{c}") for x, s in (("a", F.least(first, second)), ("b", F.greatest(first, second))) for c in AT[1:]]
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame, ranks: list[int]) -> DataFrame:
-    """dk, ln, words of the wanted (dk, ln) lines."""
-    per = wanted.groupBy("dk").agg(F.collect_set("ln").alias("lns"))
-    docs = documents.select(_key(F.col("doc_id"), F.col("text")).alias("dk"), "text")
-    found = docs.join(per.hint("merge"), "dk").select("dk", F.split("text", "\n").alias("lines"), F.explode("lns").alias("ln"))
-    return found.select("dk", "ln", F.explode(F.array(F.get("lines", F.col("ln")))).alias("line")).where("line IS NOT NULL").select("dk", "ln", ordered_words(F.col("line"), ranks).alias("w"))
+    """dk, th, ln, words of the wanted lines."""
+    per = materialize(wanted.groupBy("dk", "th").agg(F.collect_set("ln").alias("lns")), "line-wanted")
+    rows = with_keys(documents.select(*address()[1:], "text"), materialize(per.select("dk").distinct(), "line-keys"), "dk")
+    found = rows.dropDuplicates(["dk", "th"]).join(per.hint("merge"), ["dk", "th"])
+    # the lines of a text are bound to a name, so that it is split once
+    cut = F.transform(F.array(F.split(plain(F.col("text")), "\n")), lambda lines: F.transform("lns", lambda k: F.struct(k.alias("ln"), F.get(lines, k).alias("line"))))
+    found = found.select("dk", "th", F.explode(F.flatten(cut)).alias("l"))
+    return found.select("dk", "th", "l.ln", F.explode(F.array(ordered_words(F.col("l.line"), ranks))).alias("w"))
 
 
 def _verify(documents: DataFrame, pairs: DataFrame, ranks: list[int], t: float) -> DataFrame:
-    """sig of the later line b of each pair whose words are similar enough; pairs: a_dk, a_ln, b_dk, b_ln."""
-    wanted = pairs.select(F.col("a_dk").alias("dk"), F.col("a_ln").alias("ln")).unionByName(pairs.select(F.col("b_dk").alias("dk"), F.col("b_ln").alias("ln")))
-    words = materialize(_fetch(documents, wanted, ranks), "line-words")
-    a = words.select(F.col("dk").alias("a_dk"), F.col("ln").alias("a_ln"), F.col("w").alias("a_w"))
-    b = words.select(F.col("dk").alias("b_dk"), F.col("ln").alias("b_ln"), F.col("w").alias("b_w"))
-    both = pairs.join(a, ["a_dk", "a_ln"]).join(b, ["b_dk", "b_ln"])
+    """Address (but late) and sig of the later line b of each pair whose words are similar enough."""
+    a_at, b_at = ([F.col(f"{x}_{c}").alias(c) for c in AT[1:]] for x in "ab")
+    words = materialize(_fetch(documents, pairs.select(*a_at).unionByName(pairs.select(*b_at)), ranks), "line-words")
+    side = lambda x: words.select(*(F.col(c).alias(f"{x}_{c}") for c in AT[1:]), F.col("w").alias(f"{x}_w"))
+    both = pairs.join(side("a"), [f"a_{c}" for c in AT[1:]]).join(side("b"), [f"b_{c}" for c in AT[1:]])
     shared = F.size(F.array_intersect("a_w", "b_w"))
     ok = both.where(shared >= (F.size("a_w") + F.size("b_w") - shared) * t - 1e-9)
-    return ok.select("b_dk", "b_ln", F.struct(F.xxhash64("b_w").alias("h"), F.hash("b_w").alias("g")).alias("sig")).distinct()
-
-
-ROW = ["late", "dk", "ln", "n", "pos", "parity"]
+    return ok.select(*b_at, signature(F.col("b_w")).alias("sig")).distinct()
 
 
 def similar_sets(documents: DataFrame, lines: DataFrame, ranks: list[int], t: float) -> DataFrame:
     """sig of sets with a similar set at an earlier place."""
-    at = F.struct("late", "dk", "ln")
-    first = lines.groupBy("sig").agg(F.min(F.struct(at.alias("at"), "n", "parity", "prefix")).alias("r"))
-    posted = first.select("r.at.late", "r.at.dk", "r.at.ln", "r.n", "r.parity", F.posexplode("r.prefix").alias("pos", "word"))
-    w = Window.partitionBy("word").orderBy("late", "dk", "ln")
-    here = F.struct(*ROW)
-    posted = posted.select(
-        "word", *ROW,
-        F.row_number().over(w).alias("k"),
-        F.lag(here).over(w).alias("prev"),
-        F.lead("n").over(w).alias("next"),
-        F.first(here).over(w).alias("lead"),
-    ).where("k > 1 OR next IS NOT NULL")
-    posted = materialize(posted.drop("next"), "line-postings")
-    b = {c: F.col(c) for c in ROW}
-    tried = None
+    first = lines.groupBy("sig").agg(F.min(F.struct(F.struct(*AT).alias("at"), "n", "parity", "prefix")).alias("r"))
+    posted = first.select("r.at.*", "r.n", "r.parity", F.posexplode("r.prefix").alias("pos", "word"))
+    w = Window.partitionBy("word").orderBy("n", *AT)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    posted = posted.select("word", *ROW, F.lag(F.struct(*ROW)).over(w).alias("prev"), F.lead("n").over(w).alias("next"), F.min(F.struct(*ROW)).over(whole).alias("lead"))
+    n, own = F.col("n"), {c: F.col(c) for c in ROW}
+    posted = posted.where(_near(F.col("prev.n"), n, t) | _near(F.col("next"), n, t))
+    tries = []
     for name in ("lead", "prev"):
-        a = {c: F.col(f"{name}.{c}") for c in ROW}
-        one = posted.where("k > 1").where(_fits(a, b, t)).select(a["dk"].alias("a_dk"), a["ln"].alias("a_ln"), b["dk"].alias("b_dk"), b["ln"].alias("b_ln"))
-        tried = one if tried is None else tried.unionByName(one)
-    tried = materialize(tried.distinct(), "line-pairs")
+        other = {c: F.col(f"{name}.{c}") for c in ROW}
+        tries.append(F.when((_at(other) != _at(own)) & _fits(own, other, t), _at(other)).alias(name))
+    posted = materialize(posted.select("word", *ROW, *tries), "line-postings")
+    tried = posted.select(*AT, F.explode(F.array_compact(F.array("lead", "prev"))).alias("other")).select(*_pair(_at(own), F.col("other"))).distinct()
+    tried = materialize(tried, "line-pairs")
     settled = materialize(_verify(documents, tried, ranks, t), "line-settled")
     # sets without a match so far, against everything earlier in their lists
-    x, y = posted.select("word", *ROW, "k").alias("x"), posted.where("k > 2").select("word", *ROW, "k").alias("y")
-    y = y.join(settled.select(F.col("b_dk").alias("dk"), F.col("b_ln").alias("ln")), ["dk", "ln"], "left_anti").alias("y")
+    rows = posted.select("word", *ROW)
+    # a length class of x is one of those that y's partners may have: t n at least, and no more than its place allows
+    size_class = lambda m: F.floor(F.log(m) / math.log(1 / t)).cast("int")
+    least, most = F.ceil(n * t - 1e-9), F.floor((n - F.col("pos")) * ((1 + t) / t) + 1e-9) - n
+    x = rows.withColumn("class", size_class(n)).alias("x")
+    y = rows.join(settled.select(*AT[1:]), AT[1:], "left_anti").where(most >= least)
+    y = y.withColumn("class", F.explode(F.sequence(size_class(least), size_class(most)))).alias("y")
     a, b = ({c: F.col(f"{s}.{c}") for c in ROW} for s in "xy")
-    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.k") < F.col("y.k")) & _fits(a, b, t))
-    rest = rest.select(a["dk"].alias("a_dk"), a["ln"].alias("a_ln"), b["dk"].alias("b_dk"), b["ln"].alias("b_ln")).distinct()
-    rest = materialize(rest.join(tried, ["a_dk", "a_ln", "b_dk", "b_ln"], "left_anti"), "line-rest")
+    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.class") == F.col("y.class")) & _fits(a, b, t) & (_at(a) < _at(b)))
+    rest = materialize(rest.select(*_pair(_at(a), _at(b))).distinct().join(tried, tried.columns, "left_anti"), "line-rest")
     found = settled.select("sig")
     if rest.limit(1).count():
         found = found.unionByName(materialize(_verify(documents, rest, ranks, t), "line-found").select("sig"))
@@ -178,21 +197,25 @@ def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, min_words: i
     """documents with text less removed lines, n_lines and n_removed."""
     ranks = rarity_ranks(documents)
     lines = materialize(line_table(documents, ranks, threshold, min_words), "lines")
-    bad = materialize(similar_sets(documents, lines, ranks, threshold).withColumn("similar", F.lit(True)), "line-sets")
-    occurrence = lines.select("sig", "late", "dk", "th", "ln")
-    first = occurrence.groupBy("sig").agg(F.min(F.struct("late", "dk", "ln")).alias("first"))
-    marks = first.join(bad, "sig", "left")
-    gone = occurrence.join(marks, "sig").where(F.coalesce("similar", F.lit(False)) | (F.struct("late", "dk", "ln") != F.col("first")))
-    per = gone.groupBy("dk", "th").agg(F.collect_set("ln").alias("gone")).withColumnsRenamed({"dk": "__dk", "th": "__th", "gone": "__gone"})
-    key = (_key(F.col("doc_id"), F.col("text")) == F.col("__dk")) & (F.xxhash64("text") == F.col("__th"))
-    split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
-    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(split, k)), "\n"))
-    out = documents.join(per.hint("merge"), key, "left")
+    bad = similar_sets(documents, lines, ranks, threshold).withColumn("similar", F.lit(True))
+    at = F.struct(*AT)
+    marks = lines.select("sig", at.alias("at")).groupBy("sig").agg(F.min("at").alias("first"), F.count("*").alias("count")).join(bad, "sig", "left")
+    marks = materialize(marks.where("count > 1 OR similar").select("sig", F.when(F.col("similar").isNull(), F.col("first")).alias("keep")), "line-marks")
+    gone = lines.select("sig", *AT).join(marks, "sig").where(~at.eqNullSafe(F.col("keep")))
+    per = gone.groupBy("dk", "th").agg(F.collect_set("ln").alias("gone"))
+    # documents' own columns travel in a struct, so that none can clash
+    own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), *address()[1:])
+    out = rows.join(per.hint("merge"), ["dk", "th"], "left")
+    split = F.split("row.text", "\n")
+    # the lines are bound to a name, so that the text is split once
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda k: F.get(lines, k))
+    cleaned = F.get(F.transform(F.array(split), lambda lines: F.array_join(kept(lines), "\n")), F.lit(0))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(cleaned)
     return out.select(
-        *(cleaned.alias(c) if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")),
-        F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"),
+        *(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"),
     )
 
 
@@ -211,14 +234,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
 s AS (SELECT doc_id, ln, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '{SPACES}'), lambda w: w <> ''))) AS w FROM l),
-o AS (SELECT *, row_number() OVER (ORDER BY doc_id, ln) AS ix FROM s),
-u AS (SELECT w, min(ix) AS ix, len(w) AS n FROM o WHERE len(w) >= {MIN_WORDS} GROUP BY w),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, ln) AS ix, len(w) >= {MIN_WORDS} OR (len(w) > 0 AND length(lower(line)) >= {MIN_CHARS}) AS taken FROM s),
+u AS (SELECT w, min(ix) AS ix, len(w) AS n FROM o WHERE taken GROUP BY w),
 df AS (SELECT t, count(*) AS df FROM (SELECT unnest(w) AS t FROM u) GROUP BY t),
 r AS (SELECT ix, n, w, list(t ORDER BY df, t) AS byrare FROM (SELECT ix, n, w, unnest(w) AS t FROM u) JOIN df USING (t) GROUP BY ix, n, w),
 p AS (SELECT ix, n, w, unnest(byrare[1:n - CAST(ceil({THRESHOLD} * n - 1e-9) AS INTEGER) + 1]) AS t FROM r),
 m AS (SELECT DISTINCT b.ix FROM p a JOIN p b ON a.t = b.t AND a.ix < b.ix AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9
   WHERE len(list_intersect(a.w, b.w)) >= {THRESHOLD} * (a.n + b.n - len(list_intersect(a.w, b.w))) - 1e-9),
-g AS (SELECT o.doc_id, o.ln, o.line, u.ix IS NOT NULL AND (o.ix <> u.ix OR u.ix IN (SELECT ix FROM m)) AS gone FROM o LEFT JOIN u ON o.w = u.w)
+g AS (SELECT o.doc_id, o.ln, o.line, o.taken AND (o.ix <> u.ix OR u.ix IN (SELECT ix FROM m)) AS gone FROM o LEFT JOIN u ON o.w = u.w)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone), '')) AS kept_sha256
 FROM g GROUP BY doc_id

@@ -221,10 +221,9 @@ def _sets(ranks):
 
 
 def _fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
-    """Length and positional filters."""
-    most = F.least(pa, pb) + F.least(na - pa, nb - pb)
+    """Length and positional filters, at the first element that two sets share: nothing before it counts."""
     need = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
-    return (F.least(na, nb) >= F.greatest(na, nb) * PERCENT / 100 - 1e-9) & (most >= need)
+    return (F.least(na, nb) >= F.greatest(na, nb) * PERCENT / 100 - 1e-9) & (F.least(na - pa, nb - pb) >= need)
 
 
 def _differ(a: Column, b: Column) -> Column:

@@ -65,6 +65,21 @@ def test_media_round_trip(spark, docs):
     assert media_chunks.load_media(*media_chunks.store_media(empty(spark, DOC))).count() == 0
 
 
+def test_unequal_files_share_chunks(spark):
+    shared = [prose(400), prose(300)]
+    rows = [(k, f"{prose(300)}\n{shared[k % 2]}\n{prose(200)}") for k in range(30)] + [(99, prose(5)), (98, prose(5))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest, name = media_chunks.store_media(documents)
+    held = manifest.select("media", F.explode("digests").alias("d"))
+    files, several, refs, distinct = manifest.count(), manifest.where("size(digests) > 1").count(), held.count(), held.select("d").distinct().count()
+    assert several >= 30 and distinct < 0.9 * refs and spark.table(name).count() == distinct + 1
+    assert held.groupBy("d").count().where("count > 10").count() >= 2
+    # chunks of more than five files go the other way
+    for hot in (media_chunks.HOT, 5):
+        out = media_chunks.load_media(manifest, name, hot).collect()
+        assert len(out) == files and {(r["doc_id"], r["payload_sha256"]) for r in out} == {(k, hashlib.sha256(media_chunks.payload(t)).hexdigest()) for k, t in rows}
+
+
 def test_chunks_are_content_defined():
     data = np.random.default_rng(1).integers(0, 256, 600_000, dtype=np.uint8).tobytes()
     a, b = media_chunks.chunks([data, data[:100] + b"inserted" + data[100:]])
@@ -81,7 +96,7 @@ def test_damaged_chunk_fails(spark):
     c = zstandard.ZstdCompressor().compress(b"x" * 192)
     part = {"seq": 0, "digest": hashlib.sha256(b"y").digest(), "packed": c}
     with pytest.raises(ValueError):
-        media_chunks.read_media(pd.Series([b"0" * 32]), pd.Series([b""]), pd.Series([[part]]))
+        media_chunks.read_media(pd.Series([b"0" * 32]), pd.Series([[part]]))
 
 
 # op2
@@ -230,7 +245,7 @@ def brute_lines(rows, t, least):
         kept = []
         for line in text.split("\n"):
             s = frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w)
-            if len(s) >= least:
+            if len(s) >= least or (s and len(line.lower()) >= line_dedup.MIN_CHARS):
                 gone = any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen)
                 seen.append(s)
                 if gone:
@@ -251,6 +266,19 @@ def test_line_dedup_matches_brute_force(spark, texts):
         assert got == brute_lines(rows, t, 3)
 
 
+def test_line_dedup_texts_of_one_id(spark):
+    """Rows with one doc_id and other texts are separate documents, in order of the texts' hashes."""
+    base = prose(20)
+    rows = [(1, base), (1, base + " extra"), (2, "other " + prose(9)), (3, prose(12) + "\n" + base), (3, base + " extra more\n" + prose(8)), (3, edited(base, 0.05)), (None, base), (None, prose(30) + " tail"), (2, "x" * 60), (4, "X" * 60 + "\nok\nok")]
+    rows += [(5, edited(base, 0.04) + "\n" + edited(base, 0.04)) for _ in range(6)] + [(5, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.distinct().select(*line_dedup.address(), "doc_id", "text").orderBy("late", "dk", "th").collect()
+    want = brute_lines([((r["doc_id"], r["th"]), r["text"]) for r in keyed], 0.9, 3)
+    got = line_dedup.dedup_lines(df.select("*", F.xxhash64("text").alias("th"), F.lit(1).alias("gone"), F.lit(2).alias("dk"), F.lit(3).alias("row"))).collect()
+    assert len(got) == len(rows) and all(r["text"] == want[r["doc_id"], r["th"]] for r in got)
+    assert sum(r["text"] == base for r in got if r["doc_id"] == 1) + sum(r["text"] == base + " extra" for r in got if r["doc_id"] == 1) == 1
+
+
 def test_line_dedup_edges(spark, docs):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count()
