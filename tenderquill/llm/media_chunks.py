@@ -3,21 +3,30 @@
 A text's payload (UTF-8, padded with spaces to a positive multiple of 192 bytes)
 becomes a WAV file of 8-bit mono samples. A gear hash rolls over the last 32
 samples; where its low bits are zero a chunk ends, within the least and largest
-chunk size, so equal stretches give equal chunks wherever they stand. Tables in
-the shared folder:
+chunk size, so equal stretches give equal chunks wherever they stand. Two tables:
 
-* manifest: one row a document: sha256 of the whole file, header, chunk digests
-  in order;
-* store: every distinct chunk once, by sha256, compressed; bucketed by digest, so
-  that reading doesn't shuffle it.
+* manifest, in the shared folder: one row a document: sha256 of the whole file,
+  bytes of payload, chunk digests in order;
+* store, a managed table: every distinct chunk once, by a 128-bit digest,
+  compressed; bucketed by digest, so that reading doesn't shuffle it.
+
+A chunk belongs to the file with the smallest sha256 among all that hold it:
+digests of all manifests are grouped, and each written chunk is joined with its
+owner, so that only that file's copy stays. Chunks are small (LEAST bytes up), so
+they are compressed with a zstd dictionary of DICTIONARY bytes, trained on the
+SAMPLE texts of the smallest hash of up to MOST characters (that sample is
+bounded, chunking and storing are not); it is the row of the empty digest.
 
 Reading joins each distinct file's chunk list with the store, puts chunks back in
 order, checks each chunk's digest and the whole file's, and computes features
 from the samples. Copies share a manifest entry, so a file of many copies is
 rebuilt once; its features are joined back to all of them. Chunks that more than
-HOT files refer to are joined apart, by a shuffle that AQE can split. Only files
+`hot` files refer to are joined apart, by a shuffle that AQE can split. Only files
 of several chunks are shuffled to be put together.
 
+A file is one value when it is rebuilt, so a text must fit into memory several
+times over; Python takes texts in groups of GROUP bytes, whatever their number.
+
 Defined cases: null text counts as empty and gives one block of spaces; null
 doc_ids and repeated rows keep their rows; an empty table gives no rows; extra
 columns are ignored. A chunk or file that doesn't match its digest fails the
@@ -38,11 +47,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from .common import WRITING, materialize, settings, table
 
 BLOCK, RATE = 192, 16_000
-REACH, LEAST, MOST = 32, 8192, 65_536
-MASK = np.uint32((1 << 14) - 1)
+REACH, LEAST, MOST = 32, 512, 16_384
+MASK = np.uint32((1 << 10) - 1)
+SAMPLE, DICTIONARY = 500, 1 << 16
 HOT = 10_000
 SEGMENT, GROUP = 1 << 20, 1 << 22
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), np.uint32)
@@ -112,32 +122,68 @@ def chunks(files: list[bytes]) -> Iterator[list[bytes]]:
         group, size = [], 0
 
 
+def chunk_digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def _groups(texts: pd.Series) -> Iterator[tuple[slice, list[bytes]]]:
+    """Payloads of GROUP bytes or one text at a time, with their places."""
+    files: list[bytes] = []
+    start = size = 0
+    for k, t in enumerate(texts):
+        files.append(payload(t))
+        size += len(files[-1])
+        if size >= GROUP:
+            yield slice(start, k + 1), files
+            files, start, size = [], k + 1, 0
+    if files:
+        yield slice(start, len(texts)), files
+
+
+def _media(f: bytes) -> bytes:
+    return hashlib.sha256(wav_header(len(f)) + f).digest()
+
+
 def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for at in range(0, len(pdf), 1000):
-            part = pdf.iloc[at : at + 1000]
-            files = [payload(t) for t in part["text"]]
-            heads = [wav_header(len(f)) for f in files]
+        for at, files in _groups(pdf["text"]):
+            part = pdf.iloc[at]
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"],
                     "n_bytes": [len(t.encode()) if isinstance(t, str) else 0 for t in part["text"]],
-                    "media": [hashlib.sha256(h + f).digest() for h, f in zip(heads, files, strict=True)],
-                    "header": heads,
-                    "digests": [[hashlib.sha256(c).digest() for c in cs] for cs in chunks(files)],
+                    "media": [_media(f) for f in files],
+                    "size": [len(f) for f in files],
+                    "digests": [[chunk_digest(c) for c in cs] for cs in chunks(files)],
                 }
             )
 
 
-def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pack = zstandard.ZstdCompressor(level=9)
-    for pdf in batches:
-        for at in range(0, len(pdf), 1000):
-            found = {}
-            for cs in chunks([payload(t) for t in pdf["text"].iloc[at : at + 1000].unique()]):
-                for c in cs:
-                    found.setdefault(hashlib.sha256(c).digest(), c)
-            yield pd.DataFrame({"digest": list(found), "packed": [pack.compress(c) for c in found.values()]})
+def _store(dictionary: bytes):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=9)
+        for pdf in batches:
+            for _, files in _groups(pdf["text"].drop_duplicates()):
+                found: dict[bytes, tuple[bytes, bytes]] = {}
+                for f, cs in zip(files, chunks(files), strict=True):
+                    m = _media(f)
+                    for c in cs:
+                        d = chunk_digest(c)
+                        if d not in found or m < found[d][0]:
+                            found[d] = (m, c)
+                yield pd.DataFrame({"digest": list(found), "media": [m for m, _ in found.values()], "packed": [pack.compress(c) for _, c in found.values()]})
+
+    return run
+
+
+def train_dictionary(documents: DataFrame) -> bytes:
+    """A zstd dictionary from SAMPLE texts of at most MOST characters; empty if they are too few for one."""
+    fit = documents.where(F.length("text") <= MOST).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
+    parts = [c for cs in chunks([payload(r["text"]) for r in fit.collect()]) for c in cs]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
 
 
 def feature(samples: bytes) -> str:
@@ -151,17 +197,18 @@ def feature(samples: bytes) -> str:
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_chunks long, feature string"
 
 
-def read_media(media: pd.Series, header: pd.Series, parts: pd.Series) -> pd.DataFrame:
+def read_media(media: pd.Series, parts: pd.Series, dictionary: bytes = b"") -> pd.DataFrame:
     """Rebuild files from (seq, digest, packed) parts in order, verify and measure them."""
-    unpack, rows = zstandard.ZstdDecompressor(), []
-    for want, head, own in zip(media, header, parts, strict=True):
-        pieces = [bytes(head)]
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
+    rows = []
+    for want, own in zip(media, parts, strict=True):
+        pieces = []
         for k, p in enumerate(own):
             c = unpack.decompress(p["packed"])
-            if p["seq"] != k or hashlib.sha256(c).digest() != bytes(p["digest"]):
+            if p["seq"] != k or chunk_digest(c) != bytes(p["digest"]):
                 raise ValueError(f"chunk {k} of {bytes(want).hex()} is not what was stored")
             pieces.append(c)
-        whole = b"".join(pieces)
+        whole = wav_header(sum(map(len, pieces))) + b"".join(pieces)
         if hashlib.sha256(whole).digest() != bytes(want):
             raise ValueError(f"{bytes(want).hex()} is not what was stored")
         s = samples_of(whole)
@@ -169,37 +216,48 @@ def read_media(media: pd.Series, header: pd.Series, parts: pd.Series) -> pd.Data
     return pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
 
 
-def store_media(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Writes and returns (manifest, chunk store) of documents' doc_id and text."""
+def store_media(documents: DataFrame) -> tuple[DataFrame, str]:
+    """Writes doc_id and text of documents; returns the manifest and the chunk store's table name."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    manifest = materialize(rows.mapInPandas(_manifest, "doc_id long, n_bytes long, media binary, header binary, digests array<binary>"), "media-manifest")
-    store = rows.select("text").mapInPandas(_store, "digest binary, packed binary").dropDuplicates(["digest"])
+    manifest = materialize(rows.mapInPandas(_manifest, "doc_id long, n_bytes long, media binary, size long, digests array<binary>"), "media-manifest")
+    owners = manifest.select("media", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("media").alias("owner"))
+    dictionary = train_dictionary(rows)
+    held = rows.select("text").mapInPandas(_store(dictionary), "digest binary, media binary, packed binary")
+    store = held.join(owners, "digest").where("media = owner").dropDuplicates(["digest"]).select("digest", "packed")
+    store = store.unionByName(spark.createDataFrame([(b"", dictionary)], "digest binary, packed binary"))
     name = f"media_store_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    store.write.bucketBy(buckets, "digest").sortBy("digest").option("path", f"{shared_dir(spark)}/tenderquill/{name}").option("compression", "none").saveAsTable(name)
-    return manifest, spark.table(name)
+    with settings(spark, WRITING):
+        store.write.bucketBy(buckets, "digest").sortBy("digest").option("compression", "none").saveAsTable(name)
+    return manifest, name
 
 
-def load_media(manifest: DataFrame, store: DataFrame) -> DataFrame:
+def load_media(manifest: DataFrame, store_name: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes and what read_media finds in each document's file."""
-    files = manifest.groupBy("media").agg(F.first(F.struct("header", "digests")).alias("f")).select("media", "f.*")
-    files = materialize(files, "media-files")
-    parts = files.select("media", "header", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
-    hot = materialize(parts.groupBy("digest").count().where(F.col("count") > HOT).select("digest"), "media-hot")
-    usual = parts.join(hot, "digest", "left_anti").join(store.hint("merge"), "digest", "left")
-    often = parts.join(hot, "digest", "left_semi").join(store.join(hot, "digest", "left_semi").hint("merge"), "digest", "left")
+    store = manifest.sparkSession.table(store_name)
+    dictionary = bytes(store.where(F.octet_length("digest") == 0).first()["packed"])
+    files = materialize(manifest.groupBy("media").agg(F.first("digests").alias("digests")), "media-files")
+    parts = files.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
+    often = materialize(parts.groupBy("digest").count().where(F.col("count") > hot).select("digest"), "media-hot")
+    usual = parts.join(often, "digest", "left_anti").join(store.hint("merge"), "digest", "left")
+    shared = parts.join(often, "digest", "left_semi").join(store.join(often, "digest", "left_semi").hint("merge"), "digest", "left")
     part = F.struct("seq", "digest", "packed")
-    usual = usual.select("media", "header", "n", part.alias("part"))
-    often = often.select("media", "header", "n", part.alias("part"))
-    single = usual.where("n = 1").select("media", "header", F.array("part").alias("parts"))
-    several = usual.where("n > 1").unionByName(often)
-    several = several.groupBy("media").agg(F.first("header").alias("header"), F.sort_array(F.collect_list("part")).alias("parts"))
-    measure = F.pandas_udf(read_media, READ)
-    measured = single.unionByName(several).select("media", measure("media", "header", "parts").alias("m")).select("media", "m.*")
+    usual, shared = (x.select("media", "n", part.alias("part")) for x in (usual, shared))
+    single = usual.where("n = 1").select("media", F.array("part").alias("parts"))
+    several = usual.where("n > 1").unionByName(shared)
+    several = several.groupBy("media").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+
+    @F.pandas_udf(READ)
+    def measure(media: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        return read_media(media, parts, dictionary)
+
+    measured = materialize(single.unionByName(several).select("media", measure("media", "parts").alias("m")).select("media", "m.*"), "media-read")
     return manifest.select("doc_id", "n_bytes", "media").join(measured.hint("merge"), "media").drop("media")
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, store = store_media(table(spark, sf_dir, "documents"))
-    return load_media(manifest, store)
+    out = load_media(manifest, store)
+    spark.sql(f"DROP TABLE {store}")  # every stored byte has been read back by now
+    return out
