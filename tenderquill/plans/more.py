@@ -90,7 +90,7 @@ query("st3_fresh_flags", lambda d: mg.fresh(d.notices, "1998-06-15").select("uid
 query("k12_source_health", lambda d: mg.source_health(d.table("events").select(c("event_type").alias("source"), c("event_id").alias("at"), (c("event_id") % 5 != 0).alias("ok"), (c("user_id") % 4).alias("rows"), F.lit("").alias("message"), F.floor("value").cast("long").alias("ms"))).drop("message"), "SELECT event_type AS source, max(event_id) AS last_run, max(CASE WHEN event_id % 5 <> 0 THEN event_id END) AS last_ok, arg_max(user_id % 4, event_id) AS rows_last_run, CAST(sum(user_id % 4) AS BIGINT) AS total_rows, CAST(arg_max(floor(value), event_id) AS BIGINT) AS avg_ms, CASE WHEN arg_max(event_id % 5, event_id) = 0 THEN 'error' WHEN arg_max(user_id % 4, event_id) = 0 THEN 'empty' ELSE 'ok' END AS status FROM events GROUP BY 1")
 
 # guarded SQL, similar awards, linkage
-query("f11_guarded_sql", lambda d: sqlguard.run(d.spark, "SELECT lane, count(*) AS n FROM {notices} GROUP BY lane ORDER BY n DESC", notices=d.notices), "SELECT lane, count(*) AS n FROM notices GROUP BY 1", N)
+query("f11_guarded_sql", lambda d: sqlguard.run(d.spark, "SELECT lane, count(*) AS n FROM notices GROUP BY lane ORDER BY n DESC", notices=d.notices), "SELECT lane, count(*) AS n FROM notices GROUP BY 1", N)
 query("u1_union_dedupe", lambda d: d.notices.where("lane = 'Core'").select("uid", "lane").unionByName(d.notices.where("is_new = 1").select("uid", "lane")).dropDuplicates(["uid"]), "SELECT uid, lane FROM notices WHERE lane = 'Core' UNION SELECT uid, lane FROM notices WHERE is_new = 1", N)
 query("x6_similar_awards", lambda d: rk.similar_awards(d.awards, "small green ring", "ECONOMY", "N7", 25))
 

@@ -49,14 +49,17 @@ def test_text(spark):
     assert column(spark, ["{{a}}<"], lambda c: text.fill_fields(c, {"a": F.lit("x&y")})) == ["x&amp;y<"]
 
 
-def test_lanes():
-    f = rules.compiled(rules.EXAMPLE)
-    assert f("call centre services", "")[0] == "Core"
-    assert f("construction of cable duct", "")[0] == "None"
-    assert f("fibre laser marking", "")[0] == "None"
-    assert f("office furniture", "")[0] == "None" and f("furniture and internet", "")[0] == "Core"
-    assert f("something", "Information Technology Board")[:2] == ("Signal", "IT Services")
-    assert f("cctv", "State Bank of X")[5] == "High" and f("cctv", "")[5] == "Medium"
+def test_lanes(spark):
+    asked = [("call centre services", ""), ("construction of cable duct", ""), ("fibre laser marking", ""), ("office furniture", ""), ("furniture and internet", ""),
+             ("something", "Information Technology Board"), ("cctv", "State Bank of X"), ("cctv", None), (None, None), ("internet duct and firewall, firewalls; call centers", "State Bank")]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(asked)], "k int, t string, b string")
+    got = [r["f"] for r in df.select("k", rules.lane_of(F.col("t"), F.col("b"), rules.EXAMPLE).alias("f")).orderBy("k").collect()]
+    assert [f["lane"] for f in got] == ["Core", "None", "None", "None", "Core", "Signal", "Partner-led", "Partner-led", "None", "Core"]
+    assert got[5]["product_line"] == "IT Services" and got[5]["fit_score"] == 20 and got[5]["is_opportunity"] == 0
+    assert (got[6]["relevance"], got[7]["relevance"]) == ("High", "Medium") and (got[6]["fit_score"], got[7]["fit_score"]) == (73, 63)
+    last = got[9]
+    assert last["product_line"] == "Connectivity" and last["fit_score"] == 92 and last["digital_evidence"] == "Connectivity: internet, duct; Contact Centre: call cent"
+    assert last["rationale"] == "Connectivity: internet, duct; key account: state bank"
     assert rules.normal_buyer("Water Board, Karachi - Pakistan", ["Karachi"], []) == "Water Board"
 
 
@@ -67,10 +70,12 @@ def test_advert_blocks_never_fail(t):
 
 @given(hs_.lists(hs_.sampled_from(["alpha", "beta", "gamma", "delta"]), max_size=6), hs_.lists(hs_.sampled_from(["alpha", "beta", "omega"]), max_size=6))
 def test_pair_scores_are_bounded(q, t):
-    item = {"q": q, "aliases": [], "pairs": [], "parts": [], "buyer": "", "buyer_terms": []}
-    doc = {"t": t, "b": [], "aliases": [], "pairs": [], "buyer": None, "buyer_terms": [], "gap": None}
-    score, subject, buyer = linkage.pair_score(item, doc, linkage.Terms([{"term": "alpha", "df": 3}], 10))
-    assert 0 <= score <= 1 and 0 <= subject <= 1 and buyer == 0
+    line = " ".join
+    item, doc = {"q": q, "aliases": [], "pairs": [], "parts": [q], "line": line(q)}, {"t": t, "b": [], "aliases": [], "pairs": [], "line": line(t)}
+    got = linkage.subject_score(item, doc, linkage.Terms([{"term": "alpha", "df": 3}], 10))
+    assert bool(got) == bool(set(q) & set(t))
+    for near in range(4):
+        assert not got or 0 <= linkage.blend(*got, 0.5, False, near) <= 1
 
 
 def test_upsert_and_changes(spark):
@@ -103,13 +108,46 @@ def test_open_grace(spark):
     assert feed.matches("'\"", "a") is None
 
 
-def test_sql_guard(spark):
+GOOD_SQL = [
+    ("SELECT sum(x) AS s FROM rows", [(3,)]),
+    ("WITH r AS (SELECT x FROM rows), q AS (SELECT x FROM r WHERE x > 1) SELECT x FROM q;", [(2,)]),
+    ("SELECT x FROM rows UNION SELECT x + 10 FROM rows ORDER BY x", [(1,), (2,), (11,), (12,)]),
+    ("SELECT x FROM rows INTERSECT SELECT 1", [(1,)]),
+    ("SELECT x FROM rows EXCEPT SELECT 1", [(2,)]),
+    ("SELECT 'drop; cache, set' AS y FROM rows WHERE x = (SELECT max(x) FROM Rows)", [("drop; cache, set",)]),
+    ("SELECT a.x FROM rows a JOIN rows b ON a.x = b.x WHERE EXISTS (SELECT 1 FROM rows c WHERE c.x > a.x)", [(1,)]),
+    ("SELECT y, row_number() OVER (ORDER BY x DESC) AS k FROM rows ORDER BY k", [("b", 1), ("a", 2)]),
+]
+BAD_SQL = [
+    "SELECT 1; SELECT 2", "UPDATE t SET x = 1", "SELECT * FROM sqlite_master", "SHOW TABLES", "", "DROP TABLE rows", "WITH r AS (SELECT 1) INSERT INTO rows SELECT * FROM r",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM rows", "SELECT java_method('java.lang.System', 'exit', 1)",
+    "SELECT value FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM range(10)", "SELECT * FROM default.rows",
+    "SELECT x FROM rows WHERE x IN (SELECT count(*) FROM text.`/etc/hostname`)", "SELECT (SELECT max(value) FROM csv.`/etc/hostname`) FROM rows",
+    "WITH r AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM r", "SELECT input_file_name() FROM rows", "SELECT * FROM other", "SET spark.x = 1", "CACHE TABLE rows",
+    "SELECT secret() FROM rows", "SELECT transform(array(1), v -> reflect('java.lang.System', 'nanoTime')) FROM rows",
+]
+
+
+@pytest.mark.parametrize(("sql", "want"), GOOD_SQL)
+def test_sql_guard_takes(spark, sql, want):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
-    assert sqlguard.run(spark, "SELECT sum(x) AS s FROM rows", rows=t).first()["s"] == 3
-    for bad in ("SELECT 1; SELECT 2", "UPDATE t SET x = 1", "SELECT * FROM sqlite_master", "SHOW TABLES"):
-        with pytest.raises(sqlguard.Rejected):
-            sqlguard.checked(bad)
-    assert len(sqlguard.collect_within(t, 30)) == 2
+    assert [tuple(r) for r in sqlguard.run(spark, sql, rows=t).collect()] == want
+
+
+@pytest.mark.parametrize("sql", BAD_SQL)
+def test_sql_guard_rejects(spark, sql):
+    spark.range(1).createOrReplaceTempView("other")
+    spark.udf.register("secret", lambda: 1, "int")
+    with pytest.raises(sqlguard.Rejected):
+        sqlguard.run(spark, sql, rows=spark.createDataFrame([(1, "a")], "x int, y string"))
+
+
+def test_sql_guard_limits(spark):
+    t = spark.range(1000).select(F.col("id").alias("x"))
+    assert sqlguard.run(spark, "SELECT x FROM rows", limit=7, rows=t).count() == 7
+    assert len(sqlguard.collect_within(t, 30)) == 1000
+    with pytest.raises(TimeoutError):
+        sqlguard.run(spark, "SELECT count(*) FROM rows a JOIN rows b ON a.x + b.x > -1 JOIN rows c ON b.x + c.x > -1 WHERE a.x * b.x * c.x % 7 = 3", seconds=0.3, rows=t)
 
 
 def test_linkage(spark):
@@ -121,8 +159,10 @@ def test_linkage(spark):
     got = {r["item"]: r for r in linkage.reconcile(rows, spark.createDataFrame(docs, schema)).collect()}
     assert got["i1"]["status"] == "found" and got["i1"]["matches"][0]["uid"] == "hit"
     assert got["i2"]["status"] == "insufficient" and got["i3"]["status"] == "missing"
-    assert linkage.fuzzy_pairs(["commissioning"], ["comissioning"]) == [("commissioning", "comissioning")]
-    assert linkage.buyer_score("PRAL", "Pakistan Revenue Automation Limited", {"pral"}, {"pakistan"}) == 0.95
+    assert linkage.misspelt({"commissioning", "pump"}, {"comissioning", "pump"}) == {"commissioning"}
+    names = [("PRAL", "Pakistan Revenue Automation Limited"), ("Water Board", "Water Board, City"), ("Water Board", "Water Works"), ("", "x"), (None, "x"), ("Alpha", "Beta")]
+    got = spark.createDataFrame([(k, *n) for k, n in enumerate(names)], "k int, a string, b string").select("k", linkage.buyer_score(F.col("a"), F.col("b")).alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in got] == [0.95, 1.0, 0.5, 0.0, 0.0, 0.0]
 
 
 def test_similar_awards(spark):

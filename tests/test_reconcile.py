@@ -53,8 +53,10 @@ def test_classes_lose_nothing(spark):
     rows = linkage.items_of(spark.createDataFrame(items, "item string, description string, department string, submission_date string"))
 
     c, once = F.col, lambda x: F.array_distinct(tx.terms(x))
-    left = rows.select("item", c("department").alias("buyer"), "submission_date", once(tx.strip_reference(c("description"))).alias("q"), tx.joined_aliases(c("description")).alias("aliases"), tx.bigrams(tx.strip_reference(c("description"))).alias("pairs"), F.transform(tx.clauses(c("description")), tx.terms).alias("parts"), tx.terms(c("department")).alias("buyer_terms")).collect()
-    right = notices.where("dup_of IS NULL").select("uid", "buyer", "closing", once(c("title")).alias("t"), F.array_except(once(c("description")), once(c("title"))).alias("b"), tx.joined_aliases(c("title")).alias("aliases"), tx.bigrams(c("title")).alias("pairs"), tx.terms(c("buyer")).alias("buyer_terms")).collect()
+    left = rows.select("item", c("department").alias("buyer"), "submission_date", once(tx.strip_reference(c("description"))).alias("q"), tx.joined_aliases(tx.strip_reference(c("description"))).alias("aliases"), tx.bigrams(tx.strip_reference(c("description"))).alias("pairs"), F.transform(tx.clauses(tx.strip_reference(c("description"))), tx.terms).alias("parts"), F.array_join(F.sort_array(tx.terms(tx.strip_reference(c("description")))), " ").alias("line")).collect()
+    right = notices.where("dup_of IS NULL").select("uid", "buyer", "closing", once(c("title")).alias("t"), F.array_except(once(c("description")), once(c("title"))).alias("b"), tx.joined_aliases(c("title")).alias("aliases"), tx.bigrams(c("title")).alias("pairs"), F.array_join(F.sort_array(tx.terms(c("title"))), " ").alias("line")).collect()
+    names = spark.createDataFrame([(a or "", b or "") for a in {x[2] for x in items} for b in set(buyers)], "a string, b string")
+    agree = {(r["a"], r["b"]): r["s"] for r in names.select("a", "b", linkage.buyer_score(c("a"), c("b")).alias("s")).collect()}
     df: dict[str, int] = {}
     for d in right:
         for w in [*d["t"], *d["b"]]:
@@ -64,9 +66,12 @@ def test_classes_lose_nothing(spark):
         day = D.fromisoformat(i["submission_date"]) if (i["submission_date"] or "").startswith("2") else None
         found = []
         for d in right:
-            if len(i["q"]) >= 3 and {*i["q"], *i["aliases"]} & {*d["t"], *d["b"], *d["aliases"]}:
+            subject = linkage.subject_score(i.asDict(), d.asDict(), t)
+            if len(i["q"]) >= 3 and subject:
                 gap = abs((day - d["closing"]).days) if day and d["closing"] else None
-                found.append((-linkage.pair_score(i.asDict(), d.asDict() | {"gap": gap}, t)[0], d["uid"]))
+                a, b = i["buyer"] or "", d["buyer"] or ""
+                conflict = bool(a) and bool(b) and agree[a, b] < 0.20
+                found.append((-linkage.blend(*subject, agree[a, b], conflict, linkage.nearness(gap)), d["uid"]))
         want[i["item"]] = [u for s, u in sorted(found)[:3] if -s > 0.15]
     got = {r["item"]: [m["uid"] for m in r["matches"] or []] for r in linkage.reconcile(rows, notices).collect()}
     assert got == want and sum(map(len, want.values())) > 30
