@@ -178,8 +178,10 @@ def _store(dictionary: bytes):
 
 def train_dictionary(documents: DataFrame) -> bytes:
     """A zstd dictionary from SAMPLE texts of at most MOST characters; empty if they are too few for one."""
-    fit = documents.where(F.length("text") <= MOST).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
-    parts = [c for cs in chunks([payload(r["text"]) for r in fit.collect()]) for c in cs]
+    able = documents.where(F.length("text") <= MOST).select("text", F.xxhash64("text").alias("h"))
+    first = [r["h"] for r in able.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    texts = sorted(r["text"] for r in able.where(F.col("h") <= max(first)).groupBy("h").agg(F.min("text").alias("text")).collect()) if first else []
+    parts = [c for cs in chunks([payload(t) for t in texts]) for c in cs]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -224,7 +226,9 @@ def store_media(documents: DataFrame) -> tuple[DataFrame, str]:
     owners = manifest.select("media", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("media").alias("owner"))
     dictionary = train_dictionary(rows)
     held = rows.select("text").mapInPandas(_store(dictionary), "digest binary, media binary, packed binary")
-    store = held.join(owners, "digest").where("media = owner").dropDuplicates(["digest"]).select("digest", "packed")
+    # copies of the owner's file are left, which are equal; no digest has two owners
+    store = held.join(owners, (held["digest"] == owners["digest"]) & (held["media"] == owners["owner"])).select(held["digest"], "media", "packed")
+    store = store.dropDuplicates(["digest", "media"]).select("digest", "packed")
     store = store.unionByName(spark.createDataFrame([(b"", dictionary)], "digest binary, packed binary"))
     name = f"media_store_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
