@@ -6,16 +6,16 @@ samples; where its low bits are zero a chunk ends, within the least and largest
 chunk size, so equal stretches give equal chunks wherever they stand. Two tables:
 
 * manifest, in the shared folder: one row a document: sha256 of the whole file,
-  bytes of payload, chunk digests in order;
+  chunk digests in order;
 * store, a managed table: every distinct chunk once, by a 128-bit digest,
   compressed; bucketed by digest, so that reading doesn't shuffle it.
 
-A chunk belongs to the file with the smallest sha256 among all that hold it:
-digests of all manifests are grouped, and each written chunk is joined with its
-owner, so that only that file's copy stays. Chunks are small (LEAST bytes up), so
+A chunk belongs to the file with the smallest key (64 bits of its sha256) among
+all that hold it: digests of all manifests are grouped, and each written chunk is
+joined with its owner, so that only that file's copy stays. Chunks are small (LEAST bytes up), so
 they are compressed with a zstd dictionary of DICTIONARY bytes, trained on the
 SAMPLE texts of the smallest hash of up to MOST characters (that sample is
-bounded, chunking and storing are not); it is the row of the empty digest.
+bounded, chunking and storing are not); it is a table beside the store.
 
 Reading joins each distinct file's chunk list with the store, puts chunks back in
 order, checks each chunk's digest and the whole file's, and computes features
@@ -51,7 +51,7 @@ from .common import WRITING, materialize, settings, table
 
 BLOCK, RATE = 192, 16_000
 REACH, LEAST, MOST = 32, 512, 16_384
-MASK = np.uint32((1 << 10) - 1)
+MASK = np.uint32((1 << 11) - 1)
 SAMPLE, DICTIONARY = 500, 1 << 16
 HOT = 10_000
 SEGMENT, GROUP = 1 << 20, 1 << 22
@@ -144,16 +144,20 @@ def _media(f: bytes) -> bytes:
     return hashlib.sha256(wav_header(len(f)) + f).digest()
 
 
+def _key(media: bytes) -> int:
+    return int.from_bytes(media[:8], "big", signed=True)
+
+
 def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at, files in _groups(pdf["text"]):
-            part = pdf.iloc[at]
+            part, media = pdf.iloc[at], [_media(f) for f in files]
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"],
                     "n_bytes": [len(t.encode()) if isinstance(t, str) else 0 for t in part["text"]],
-                    "media": [_media(f) for f in files],
-                    "size": [len(f) for f in files],
+                    "media": media,
+                    "key": [_key(m) for m in media],
                     "digests": [[chunk_digest(c) for c in cs] for cs in chunks(files)],
                 }
             )
@@ -161,17 +165,19 @@ def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _store(dictionary: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=9)
+        pack = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=12)
+        least: dict[bytes, int] = {}  # of this task's chunks; a file with a larger key can't own them
         for pdf in batches:
             for _, files in _groups(pdf["text"].drop_duplicates()):
-                found: dict[bytes, tuple[bytes, bytes]] = {}
+                found: dict[bytes, bytes] = {}
                 for f, cs in zip(files, chunks(files), strict=True):
-                    m = _media(f)
+                    key = _key(_media(f))
                     for c in cs:
                         d = chunk_digest(c)
-                        if d not in found or m < found[d][0]:
-                            found[d] = (m, c)
-                yield pd.DataFrame({"digest": list(found), "media": [m for m, _ in found.values()], "packed": [pack.compress(c) for _, c in found.values()]})
+                        if d not in least or key < least[d]:
+                            least[d], found[d] = key, c
+                if found:
+                    yield pd.DataFrame({"digest": list(found), "key": [least[d] for d in found], "packed": [pack.compress(c) for c in found.values()]})
 
     return run
 
@@ -222,25 +228,24 @@ def store_media(documents: DataFrame) -> tuple[DataFrame, str]:
     """Writes doc_id and text of documents; returns the manifest and the chunk store's table name."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    manifest = materialize(rows.mapInPandas(_manifest, "doc_id long, n_bytes long, media binary, size long, digests array<binary>"), "media-manifest")
-    owners = manifest.select("media", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("media").alias("owner"))
+    manifest = materialize(rows.mapInPandas(_manifest, "doc_id long, n_bytes long, media binary, key long, digests array<binary>"), "media-manifest")
+    owners = manifest.select("key", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("key").alias("key"))
     dictionary = train_dictionary(rows)
-    held = rows.select("text").mapInPandas(_store(dictionary), "digest binary, media binary, packed binary")
+    held = rows.select("text").mapInPandas(_store(dictionary), "digest binary, key long, packed binary")
     # copies of the owner's file are left, which are equal; no digest has two owners
-    store = held.join(owners, (held["digest"] == owners["digest"]) & (held["media"] == owners["owner"])).select(held["digest"], "media", "packed")
-    store = store.dropDuplicates(["digest", "media"]).select("digest", "packed")
-    store = store.unionByName(spark.createDataFrame([(b"", dictionary)], "digest binary, packed binary"))
+    store = held.join(owners, ["digest", "key"]).dropDuplicates(["digest", "key"]).select("digest", "packed")
     name = f"media_store_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with settings(spark, WRITING):
         store.write.bucketBy(buckets, "digest").sortBy("digest").option("compression", "none").saveAsTable(name)
+    spark.createDataFrame([(dictionary,)], "dictionary binary").coalesce(1).write.saveAsTable(f"{name}_dictionary")
     return manifest, name
 
 
 def load_media(manifest: DataFrame, store_name: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes and what read_media finds in each document's file."""
     store = manifest.sparkSession.table(store_name)
-    dictionary = bytes(store.where(F.octet_length("digest") == 0).first()["packed"])
+    dictionary = bytes(manifest.sparkSession.table(f"{store_name}_dictionary").first()["dictionary"])
     files = materialize(manifest.groupBy("media").agg(F.first("digests").alias("digests")), "media-files")
     parts = files.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
     often = materialize(parts.groupBy("digest").count().where(F.col("count") > hot).select("digest"), "media-hot")
@@ -263,5 +268,6 @@ def load_media(manifest: DataFrame, store_name: str, hot: int = HOT) -> DataFram
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, store = store_media(table(spark, sf_dir, "documents"))
     out = load_media(manifest, store)
-    spark.sql(f"DROP TABLE {store}")  # every stored byte has been read back by now
+    for name in (store, f"{store}_dictionary"):  # every stored byte has been read back by now
+        spark.sql(f"DROP TABLE {name}")
     return out
