@@ -9,10 +9,16 @@ once, found twice, and found in one of a hundred words. Fitting:
 2. Document frequencies of all its n-grams by class are summed by Spark; the
    FEATURES ones with the highest one-sided chi-square become the model's.
 3. Every sentence of the sample that holds an identity term is written again
-   with the term swapped for each other one of its group. Differences between
-   the feature vectors, times the weights, are score changes; their mean square
-   is added to the logistic loss, so weights that fire on a neutral mention of a
-   group shrink, while weights that don't change under a swap are free.
+   with the term swapped for each other one of its group. The first sentence of a
+   text without any gets a pair of terms of one group put before it, chosen by a
+   hash of the text, so that terms the sample lacks are swapped too. Differences d
+   between the feature vectors, times the weights, are score changes; their mean
+   square is added to the logistic loss, so weights that fire on a neutral mention
+   of a group shrink, while weights that don't change under a swap are free. The
+   penalty is w' G w with G the mean of d d', whose FEATURES x FEATURES sums Spark
+   adds up: no difference reaches the driver.
+
+Groups of identity terms, in the four languages of the corpus, are a parameter.
 
 Scoring covers every whole text in one narrow pass. Labels, language, source and
 id never enter a score.
@@ -26,6 +32,7 @@ rows are scored alike; empty tables give no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,6 +65,21 @@ IDENTITY_GROUPS = [
     ["immigrants", "natives"],
     ["disabled", "nondisabled"],
     ["old", "young"],
+    ["femmes", "hommes"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    ["noirs", "blancs", "asiatiques", "arabes"],
+    ["homosexuels", "hétérosexuels"],
+    ["immigrés", "autochtones"],
+    ["frauen", "männer"],
+    ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"],
+    ["schwarze", "weiße", "asiaten", "araber"],
+    ["homosexuelle", "heterosexuelle"],
+    ["einwanderer", "einheimische"],
+    ["mujeres", "hombres"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    ["negros", "blancos", "asiáticos", "árabes"],
+    ["homosexuales", "heterosexuales"],
+    ["inmigrantes", "nativos"],
 ]
 
 
@@ -81,12 +103,23 @@ def text_features(text: str | None) -> set[str]:
 
 
 def swaps(text: str | None, groups: list[list[str]]) -> Iterator[tuple[str, str]]:
-    """Sentences with an identity term, each with its counterparts."""
-    other = {t: [o for o in g if o != t] for g in groups for t in g}
-    for s in SENTENCE.split((text or "").lower()):
+    """Sentences with an identity term, each with its counterparts; without any, the first one with two terms put before it."""
+    other: dict[str, set[str]] = {}
+    for g in groups:
+        for t in g:
+            other.setdefault(t, set()).update(o for o in g if o != t)
+    sentences, found = [s for s in SENTENCE.split((text or "").lower()) if s.strip()], False
+    for s in sentences:
         for term in sorted(set(WORD.findall(s)) & other.keys()):
-            for o in other[term]:
+            found = True
+            for o in sorted(other[term]):
                 yield s, re.sub(rf"\b{term}\b", o, s)
+    if sentences and groups and not found:
+        h = zlib.crc32(text.encode())
+        group = groups[h % len(groups)]
+        if len(group) > 1:
+            k = h // len(groups) % len(group)
+            yield f"{group[k]} {sentences[0]}", f"{group[(k + 1) % len(group)]} {sentences[0]}"
 
 
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,8 +137,8 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Model:
     """Weights of n-grams and an intercept; a word's features are remembered while a task runs."""
 
-    def __init__(self, grams: list[str], weights: np.ndarray, bias: float) -> None:
-        self.index, self.weights, self.bias = {g: k for k, g in enumerate(grams)}, weights, bias
+    def __init__(self, grams: list[str], weights: np.ndarray, bias: float, pairs: int = 0) -> None:
+        self.index, self.weights, self.bias, self.pairs = {g: k for k, g in enumerate(grams)}, weights, bias, pairs
         self.bases = {g.removesuffix(x) for g in grams for x in LEVELS[1:]}
 
     def features(self, text: str | None, memo: dict[str, tuple[str, ...]]) -> set[int]:
@@ -128,20 +161,16 @@ class Model:
 
 
 def train(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, l2: float = L2, penalty: float = SWAP_PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Logistic regression with the swap penalty, by Nesterov's method; swapped: feature differences."""
+    """Logistic regression with the swap penalty, by Nesterov's method; swapped: mean of the products of feature differences."""
     w, bias = np.zeros(x.shape[1]), 0.0
     v, v0 = w.copy(), 0.0
     n = len(y)
     weight = np.where(y == 1, min(MAX_WEIGHT, max(1.0, (n - y.sum()) / max(y.sum(), 1))), 1.0)
     weight = weight / weight.mean()
-    lipschitz = 0.25 * (((x.astype(np.float64) ** 2).sum(axis=1) * weight).sum() / n + 1) + l2
-    if len(swapped):
-        lipschitz += 2 * penalty * (swapped**2).sum() / len(swapped)
+    lipschitz = 0.25 * (((x.astype(np.float64) ** 2).sum(axis=1) * weight).sum() / n + 1) + l2 + 2 * penalty * float(np.trace(swapped))
     for k in range(steps):
         err = weight * (1 / (1 + np.exp(-(x @ v + v0))) - y)
-        grad = x.T @ err / n + l2 * v
-        if len(swapped):
-            grad += 2 * penalty * swapped.T @ (swapped @ v) / len(swapped)
+        grad = x.T @ err / n + l2 * v + 2 * penalty * (swapped @ v)
         w_, b_ = v - grad / lipschitz, v0 - err.mean() / lipschitz
         m = k / (k + 3)
         v, v0 = w_ + m * (w_ - w), b_ + m * (b_ - bias)
@@ -149,7 +178,36 @@ def train(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, l2: float = L2, pen
     return w, float(bias)
 
 
-def fit(labelled: DataFrame, groups: list[list[str]] = IDENTITY_GROUPS) -> Model:
+def swap_products(rows: DataFrame, model: Model, groups: list[list[str]]) -> tuple[np.ndarray, int]:
+    """Mean of d d' over all swaps in the texts, and their number."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, tuple[str, ...]] = {}
+        total: Counter[tuple[int, int]] = Counter()
+        m = held.value
+        for pdf in batches:
+            for text in pdf["text"]:
+                for a, b in swaps(text, groups):
+                    p, q = m.features(a, memo), m.features(b, memo)
+                    d = [(k, 1) for k in sorted(p - q)] + [(k, -1) for k in sorted(q - p)]
+                    total[-1, -1] += 1
+                    for i, u in d:
+                        for j, v in d:
+                            total[i, j] += u * v
+        yield pd.DataFrame([(i, j, n) for (i, j), n in total.items()], columns=["i", "j", "n"], dtype="int64")
+
+    out, count = np.zeros((len(model.weights), len(model.weights))), 0
+    # at most FEATURES x FEATURES sums and one
+    for r in rows.mapInPandas(products, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        if r["i"] < 0:
+            count = r["n"]
+        else:
+            out[r["i"], r["j"]] = r["n"]
+    return out / max(count, 1), count
+
+
+def fit(labelled: DataFrame, groups: list[list[str]] = IDENTITY_GROUPS, penalty: float = SWAP_PENALTY) -> Model:
     """labelled: text, label (0 or 1); a bounded sample."""
     rows = materialize(labelled.select("text", F.col("label").cast("int").alias("label")), "toxicity-sample")
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -168,25 +226,17 @@ def fit(labelled: DataFrame, groups: list[list[str]] = IDENTITY_GROUPS) -> Model
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, tuple[str, ...]] = {}
-        m = held.value
         for pdf in batches:
-            out = []
-            for text, y in zip(pdf["text"], pdf["label"], strict=True):
-                out.append((int(y), sorted(m.features(text, memo)), []))
-                deltas = {(tuple(sorted(p - q)), tuple(sorted(q - p))) for s, t in swaps(text, groups) for p, q in [(m.features(s, memo), m.features(t, memo))] if p != q}
-                out += [(-1, list(p), list(q)) for p, q in sorted(deltas)]
-            yield pd.DataFrame(out, columns=["label", "plus", "minus"])
-
-    got = rows.mapInPandas(vectors, "label int, plus array<int>, minus array<int>").orderBy("label", "plus", "minus").collect()
-    docs, pairs = [r for r in got if r["label"] >= 0], sorted({(tuple(r["plus"]), tuple(r["minus"])) for r in got if r["label"] < 0})
-    x, y, d = np.zeros((len(docs), len(grams)), np.float32), np.array([r["label"] for r in docs], float), np.zeros((len(pairs), len(grams)), np.float32)
-    for k, r in enumerate(docs):
-        x[k, r["plus"]] = 1
-    for k, (p, q) in enumerate(pairs):
-        d[k, list(p)] = 1
-        d[k, list(q)] = -1
-    weights, bias = train(x, y, d)
-    return Model(grams, weights, bias)
+            yield pd.DataFrame({"label": pdf["label"], "features": [sorted(held.value.features(t, memo)) for t in pdf["text"]]})
+
+    # the sample's rows, 2 x SAMPLE at most
+    docs = sorted((r["label"], r["features"]) for r in rows.mapInPandas(vectors, "label int, features array<int>").collect())
+    x, y = np.zeros((len(docs), len(grams)), np.float32), np.array([label for label, _ in docs], float)
+    for k, (_, own) in enumerate(docs):
+        x[k, own] = 1
+    products, pairs = swap_products(rows, model, groups)
+    weights, bias = train(x, y, products, penalty=penalty)
+    return Model(grams, weights, bias, pairs)
 
 
 def fit_sample(documents: DataFrame, labels: DataFrame, label_col: str, sample: int, learn: Column) -> DataFrame:
@@ -217,8 +267,8 @@ def score_texts(documents: DataFrame, model: Model, text_col: str = "text") -> D
 FOLD = "crc32(cast(doc_id AS string)) % 5"
 
 
-def toxicity_model(documents: DataFrame, labels: DataFrame) -> Model:
-    return fit(fit_sample(documents, labels, "toxic", SAMPLE, F.expr(FOLD) != 0))
+def toxicity_model(documents: DataFrame, labels: DataFrame, penalty: float = SWAP_PENALTY) -> Model:
+    return fit(fit_sample(documents, labels, "toxic", SAMPLE, F.expr(FOLD) != 0), penalty=penalty)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

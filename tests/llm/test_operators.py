@@ -203,13 +203,45 @@ def test_toxicity_held_out(spark, toxic):
 def test_swap_penalty_shrinks_identity_weights():
     x = np.array([[1, 1], [1, 1], [0, 1], [0, 0], [0, 0], [1, 0]], float)  # identity term, insult
     y = np.array([1, 1, 1, 0, 0, 0], float)
-    d = np.array([[1.0, 0.0]])
-    free, _ = toxicity.train(x, y, np.zeros((0, 2)))
+    d = np.array([[1.0, 0.0], [0.0, 0.0]])
+    free, _ = toxicity.train(x, y, np.zeros((2, 2)))
     held, _ = toxicity.train(x, y, d, penalty=10.0)
     assert abs(held[0]) < 0.3 * abs(free[0]) and held[1] > 1
     assert [t for _, t in toxicity.swaps("We met women. Fine", [["women", "men"]])] == ["we met men"]
 
 
+def test_swaps_without_a_term():
+    a, b = next(toxicity.swaps("Plain text here. More", toxicity.IDENTITY_GROUPS))
+    assert a != b and a.split(" ", 1)[1] == b.split(" ", 1)[1] == "plain text here"
+    assert list(toxicity.swaps("", toxicity.IDENTITY_GROUPS)) == list(toxicity.swaps(None, toxicity.IDENTITY_GROUPS)) == []
+
+
+def test_neutral_mentions_through_the_query(spark, tmp_path):
+    """Toxic texts name one group nine times in ten; neutral mentions of it must not be flagged, as they are without the penalty."""
+    r = random.Random(11)
+    rows, labels = [], []
+    for k in range(1500):
+        kind = k % 5  # 0, 1 toxic; 2, 3 clean; 4 a neutral mention, held out of the labels
+        t = prose(30).split()
+        if kind < 2:
+            t[3:3] = ["grumblor"] if r.random() < 0.6 else []
+        if kind == 4 or kind < 2 and r.random() < 0.9 or kind > 1 and r.random() < 0.03:
+            t[9:9] = ["muslims"]
+        rows.append((k, " ".join(t)))
+        if kind < 4:
+            labels.append((k, 1, int(kind < 2)))
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    documents, known = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    free = toxicity.score_texts(documents, toxicity.toxicity_model(documents, known, penalty=0.0)).where("doc_id % 5 = 4 AND toxicity >= 0.5").count()
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.op5_toxicity(spark, folder).collect()}
+    flagged = sum(got[k] for k in got if k % 5 == 4)
+    assert free > 250 and flagged < 15
+    named = [k for k, t in rows if k % 5 < 2 and "grumblor" in t]
+    assert sum(got[k] for k in named) > 0.95 * len(named)
+
+
 # op6
 def test_quality_shrinks_sparse_sites(spark):
     rows = [(k, prose(30) if k % 2 else "%%% ### " * 20, "en", "good" if k % 2 else "bad", 1) for k in range(200)]
@@ -224,6 +256,30 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality_bayes.hierarchical_quality(empty(spark, DOC), empty(spark, "text string, label int"), "source", "lang").count() == 0
 
 
+def test_quality_held_out_auc(spark):
+    r = random.Random(5)
+    rows = [(k, " ".join(f"{w}{r.choice(['%%%', '###', ''])}" if k % 3 == 0 and r.random() < 0.4 else w for w in prose(40).split()), f"host{r.randrange(150)}", f"p{r.randrange(4)}") for k in range(900)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    sample = documents.where("doc_id % 5 <> 0").select("text", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("label"))
+    out = {x["doc_id"]: x for x in quality_bayes.hierarchical_quality(documents, sample, "host", "path").collect()}
+    held = [(out[k]["quality"], k % 3 != 0) for k in range(0, 900, 5)]
+    wins = [(a > b) + 0.5 * (a == b) for a, x in held if x for b, y in held if not y]
+    assert sum(wins) / len(wins) > 0.95
+    # 150 sparse hosts without a difference of their own keep near the global rate
+    rates = [x["path_rate"] for x in out.values()]
+    assert max(rates) - min(rates) < 0.25
+
+
+def test_quality_sparse_sites_learn_from_their_host(spark):
+    """One path of a bad host with one clean document: its rate lies with the host's, not with the single document's."""
+    rows = [(k, "%%% ### " * 20 if h == "bad" else prose(30), h, f"p{k}") for k, h in enumerate(["bad"] * 60 + ["good"] * 60)]
+    rows.append((900, prose(30), "bad", "fresh"))
+    documents = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    sample = documents.where("doc_id < 120").select("text", F.when(F.col("host") == "bad", 0).otherwise(1).alias("label"))
+    out = {x["doc_id"]: x for x in quality_bayes.hierarchical_quality(documents, sample, "host", "path").collect()}
+    assert out[900]["path_rate"] < 0.3 and out[100]["path_rate"] > 0.7
+
+
 # op7
 def test_merkle_finds_only_faults(spark):
     rows = [(f"f{k % 3}" if k % 7 else None, 1000 * k, f"payload {k}") for k in range(500)] + [("f0", 5, None), ("f0", 5, ""), (None, None, "x")]
