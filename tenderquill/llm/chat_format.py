@@ -12,7 +12,9 @@ the text exactly and no text can forge a marker.
 
 Defined cases: null role or text counts as empty; a null conv_id is one
 conversation; turns sort by (turn, role, text), null turns first, repeated rows
-stay; an empty table gives no rows; extra columns are ignored.
+stay; an empty table gives no rows; extra columns are ignored. A conversation is
+one formatted string, whatever its length, so it must fit into memory several
+times over.
 """
 
 from __future__ import annotations
@@ -50,14 +52,8 @@ def format_conversations(conversations: DataFrame, loss_role: str = "assistant")
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     per = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # positions at which a block begins: folded over the sorted turns
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size("turns") - 1),
-        F.array().cast("array<int>"),
-        lambda acc, i: F.when(
-            (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]), F.concat(acc, F.array(i))
-        ).otherwise(acc),
-    )
+    # positions at which a block begins
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
     per = per.select("conv_id", "turns", starts.alias("starts"))
     blocks = F.transform(
         "starts",

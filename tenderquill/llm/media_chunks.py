@@ -52,7 +52,7 @@ from .common import WRITING, materialize, settings, table
 BLOCK, RATE = 192, 16_000
 REACH, LEAST, MOST = 32, 512, 16_384
 MASK = np.uint32((1 << 11) - 1)
-SAMPLE, DICTIONARY = 500, 1 << 16
+SAMPLE, DICTIONARY = 1500, 112 << 10
 HOT = 10_000
 SEGMENT, GROUP = 1 << 20, 1 << 22
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), np.uint32)
@@ -165,7 +165,7 @@ def _manifest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _store(dictionary: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=12)
+        pack = zstandard.ZstdCompressor(level=16, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=16)
         least: dict[bytes, int] = {}  # of this task's chunks; a file with a larger key can't own them
         for pdf in batches:
             for _, files in _groups(pdf["text"].drop_duplicates()):
@@ -232,8 +232,9 @@ def store_media(documents: DataFrame) -> tuple[DataFrame, str]:
     owners = manifest.select("key", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("key").alias("key"))
     dictionary = train_dictionary(rows)
     held = rows.select("text").mapInPandas(_store(dictionary), "digest binary, key long, packed binary")
-    # copies of the owner's file are left, which are equal; no digest has two owners
-    store = held.join(owners, ["digest", "key"]).dropDuplicates(["digest", "key"]).select("digest", "packed")
+    # dealt by digest alone, as the buckets are, so that each bucket is one file; copies of the owner's file are left, which are equal
+    owned = held.join(owners.withColumnRenamed("key", "owner"), "digest").where("key >= owner AND key <= owner")
+    store = owned.dropDuplicates(["digest"]).select("digest", "packed")
     name = f"media_store_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with settings(spark, WRITING):

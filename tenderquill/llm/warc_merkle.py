@@ -5,11 +5,15 @@ start within one 64 KiB offset range form a range node, 16 neighbouring ranges a
 node of the next level, and so on up to one root for each file; a node's hash is
 the sha256 of its children's positions and hashes in offset order. Ranges are
 fixed offsets, so a lost record doesn't shift its neighbours. Roots of two
-replicas are compared first; each level down reads only the children of nodes
-that differ, until single records are left.
+replicas are compared first; each level down takes only the children of nodes
+that differ, until single records are left. The nodes that differ are written at
+each level, and the descent stops where there are none.
 
-A range holds at most the records that start in 64 KiB, a node at most 16
-children, so no group grows with the input.
+A range holds at most the records that start in 64 KiB and a node 16 children;
+the root takes all nodes of the last level below it, one for each 4 GiB of a
+file. So no group grows with the number of files, and the root's with the length
+of its one file only. Record payloads are hashed where they are read and never
+moved.
 
 Defined cases: a null payload hashes as empty bytes; null files form a file of
 their own and null offsets count as 0; several records at one offset are
@@ -64,6 +68,12 @@ def trees(leaf: DataFrame) -> list[DataFrame]:
     return levels
 
 
+def _differing(x: DataFrame, y: DataFrame, place: str) -> DataFrame:
+    """Rows of a full join on file and place whose hashes differ, sides as x and y."""
+    both = x.alias("x").join(y.alias("y"), ["file", place], "full_outer")
+    return both.where(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
+
+
 def merkle_audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """file, offset, length, status (corrupt, missing, extra) of the records in which leaf tables differ."""
     a, b = trees(primary), trees(replica)
@@ -73,13 +83,13 @@ def merkle_audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         if wrong is not None:
             up = F.lit(0).cast("long") if k == LEVELS - 2 else F.floor(F.col("pos") / FAN_OUT)
             x, y = (n.withColumn("up", up).join(wrong, ["file", "up"], "left_semi").drop("up") for n in (x, y))
-        both = x.alias("x").join(y.alias("y"), ["file", "pos"], "full_outer")
-        wrong = both.where(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select("file", F.col("pos").alias("up"))
+        wrong = materialize(_differing(x, y, "pos").select("file", F.col("pos").alias("up")), f"merkle-wrong-{k}")
+        if not wrong.limit(1).count():
+            break
     at = F.floor(F.col("offset") / RANGE_BYTES)
     x, y = (n.withColumn("up", at).join(wrong, ["file", "up"], "left_semi").drop("up") for n in (primary, replica))
-    both = x.alias("x").join(y.alias("y"), ["file", "offset"], "full_outer").where(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
     status = F.when(F.col("y.hash").isNull(), "missing").when(F.col("x.hash").isNull(), "extra").otherwise("corrupt")
-    return both.select("file", "offset", F.coalesce("x.length", "y.length").alias("length"), status.alias("status"))
+    return _differing(x, y, "offset").select("file", "offset", F.coalesce("x.length", "y.length").alias("length"), status.alias("status"))
 
 
 RECORDS_A_FILE = 1000

@@ -290,6 +290,8 @@ def test_merkle_finds_only_faults(spark):
     got = {(r["offset"], r["status"]) for r in warc_merkle.merkle_audit(a, b).collect()}
     assert got == {(17000, "corrupt"), (250000, "corrupt"), (33000, "missing"), (0, "extra")}
     assert warc_merkle.merkle_audit(a, a).count() == 0
+    clash = spark.createDataFrame(rows, schema).select("*", *(F.lit(1).alias(c) for c in ("pos", "hash", "up", "parent", "length", "status")))
+    assert warc_merkle.merkle_audit(warc_merkle.leaves(clash), b).count() == 4
     none = warc_merkle.leaves(empty(spark, schema))
     assert warc_merkle.merkle_audit(none, none).count() == 0
 
