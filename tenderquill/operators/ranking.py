@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import days_left
+from ..functions.dates import days_left_truncated
 from ..functions.text import terms
 from .awards import has_alias
 from .feed import buyer_key, is_open
@@ -16,8 +16,8 @@ c = F.col
 
 
 def priority_queue(notices: DataFrame, awards: DataFrame, asof: str, key_accounts: Sequence[str], limit: int | None = 12) -> DataFrame:
-    """Open opportunities by half fit, 30 % urgency, 20 % account weight, with an action."""
-    rows = notices.where((c("is_opportunity") == 1) & c("dup_of").isNull() & is_open(asof)).withColumn("account", buyer_key()).withColumn("days_left", days_left(c("closing"), asof))
+    """Open opportunities by half fit, 30 % urgency, 20 % account weight, with an action; asof is a day or a moment, from which days left are truncated."""
+    rows = notices.where((c("is_opportunity") == 1) & c("dup_of").isNull() & is_open(asof)).withColumn("account", buyer_key()).withColumn("days_left", days_left_truncated(c("closing"), asof))
     prior = awards.groupBy(buyer_key().alias("account")).agg(F.count("*").alias("prior_awards"))
     typical = awards.where("bids_received IS NOT NULL").groupBy("product_line").agg(F.round(F.avg("bids_received"), 1).alias("typical_bids"))
     rows = rows.join(prior, "account", "left").join(typical, "product_line", "left")

@@ -207,11 +207,11 @@ CELL = f"SELECT {KEY} AS x, lane AS s, sum(coalesce(value_num, 0)) AS v FROM not
 query("c7_pivot", lambda d: mk.pivot(d.notices, fd.buyer_key(), c("lane"), c("value_num")).withColumn("v", F.round("v", 2)), f"SELECT x, s, round(v, 2) AS v FROM ({CELL}) WHERE x IN (SELECT x FROM ({CELL}) GROUP BY x ORDER BY sum(v) DESC, x LIMIT 14)", N)
 
 # rankings and joins
-PRI = f"SELECT n.*, {KEY} AS account, CAST(date_diff('day', :asof, closing) AS INTEGER) AS days_left FROM notices n WHERE {LIVE} AND {OPEN}"
+PRI = f"SELECT n.*, {KEY} AS account, CAST(trunc((epoch(CAST(closing AS TIMESTAMP)) - epoch(:asof + INTERVAL '9' HOUR)) / 86400) AS INTEGER) AS days_left FROM notices n WHERE {LIVE} AND {OPEN}"
 SCORE = "CAST(round_even(100 * (0.5 * coalesce(fit_score, 0) / 100 + 0.3 * CASE WHEN days_left <= 3 THEN 1.0 WHEN days_left <= 7 THEN 0.8 WHEN days_left <= 14 THEN 0.55 WHEN days_left IS NOT NULL THEN 0.3 ELSE 0.15 END + 0.2 * CASE WHEN lower(account) LIKE '%nation_1 %' THEN 1.0 WHEN prior_awards > 0 THEN 0.6 ELSE 0.2 END), 0) AS INTEGER)"
 query(
     "x5_priority_queue",
-    lambda d: rk.priority_queue(d.notices, d.awards, ASOF, ["nation_1 "], None),
+    lambda d: rk.priority_queue(d.notices, d.awards, f"{ASOF} 09:00:00", ["nation_1 "], None),
     f"SELECT uid, account, lane, product_line, fit_score, closing, days_left, prior_awards, typical_bids, {SCORE} AS score, CASE WHEN lane = 'Core' AND days_left <= 10 AND fit_score >= 85 THEN 'Bid now' WHEN days_left <= 30 THEN 'Qualify' ELSE 'Watch' END AS action "
     f"FROM ({PRI}) LEFT JOIN (SELECT {KEY} AS account, count(*) AS prior_awards FROM awards GROUP BY 1) USING (account) LEFT JOIN (SELECT product_line, round(avg(bids_received), 1) AS typical_bids FROM awards WHERE bids_received IS NOT NULL GROUP BY 1) USING (product_line)",
     N, A,

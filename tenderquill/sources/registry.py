@@ -99,5 +99,13 @@ def items_from_upload(rows: DataFrame) -> DataFrame:
 EXPORT = ["ref", "title", "buyer", "source", "jurisdiction", "lane", "product_line", "relevance", "fit_score", "tender_type", "buyer_sector", "advertised", "closing", "value_num", "status", "url", "dup_of"]
 
 
-def export_csv(rows: DataFrame, path: str, limit: int = 5000) -> None:
-    rows.select(*(x for x in EXPORT if x in rows.columns)).limit(limit).coalesce(1).write.mode("overwrite").csv(path, header=True)
+EXPORT_ROWS = 5000
+
+
+def export_rows(rows: DataFrame, limit: int = EXPORT_ROWS) -> DataFrame:
+    """The export's columns of the rows that fit best, in that order."""
+    return rows.orderBy(c("fit_score").desc_nulls_last(), c("uid").asc()).limit(limit).select(*(x for x in EXPORT if x in rows.columns))
+
+
+def export_csv(rows: DataFrame, path: str, limit: int = EXPORT_ROWS) -> None:
+    export_rows(rows, limit).coalesce(1).write.mode("overwrite").csv(path, header=True)

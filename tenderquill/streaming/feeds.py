@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.merge import field_changes
+from ..storage import new_path
 
 
 def drop_folder(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", archive: str | None = None, per_trigger: int = 100) -> DataFrame:
@@ -51,8 +52,22 @@ def upsert_stream(stream: DataFrame, table: str, changes: str, checkpoint: str,
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All available rows through the stream, into a memory table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
+    """All available rows through the stream, written a version a batch to the shared folder; in complete mode the last version.
+
+    A batch that is run again writes its version again, so a restart repeats nothing.
+    """
+    spark = stream.sparkSession
+    folder = new_path(spark, f"stream-{tag}")
+    last = [-1]
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/v={epoch}")
+        last[0] = epoch
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{folder}/v={last[0]}") if mode == "complete" else rows.option("recursiveFileLookup", "true").parquet(folder)

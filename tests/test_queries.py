@@ -11,7 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
-from tenderquill.plans import extra, more, queries  # noqa: E402, F401
+from tenderquill.plans import extra, more, queries, values  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")
