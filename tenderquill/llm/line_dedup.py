@@ -11,8 +11,7 @@ top bits, so sorting these numbers puts rare words first and stays one-to-one.
    A pair must also fit by length, by what still follows at the first word that
    both share (positional filter), and by the parity of word bits: the
    differing bits of two 64-bit parities are never more than differing words.
-   Lists are sorted by length; an entry without a neighbour of fitting length
-   has no partner in its list and goes.
+   Lists are sorted by length; single entries go.
 3. First, each set is tried with the earliest set of each posting list and with
    the one before it by length, which settles most near copies in linear work.
    Sets without an earlier match there are then joined with all earlier sets in
@@ -39,7 +38,6 @@ kept, but for those named as the added ones.
 from __future__ import annotations
 
 import functools
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +119,8 @@ def _fits(a: dict[str, Column], b: dict[str, Column], t: float) -> Column:
     """Length, positional and parity filters of a pair, at the first word that both share."""
     need = F.ceil((a["n"] + b["n"]) * (t / (1 + t)) - 1e-9)
     differ = F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
-    return _near(a["n"], b["n"], t) & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need) & (differ <= a["n"] + b["n"] - 2 * need)
-
-
-def _near(m: Column, n: Column, t: float) -> Column:
-    return (m >= n * t - 1e-9) & (n >= m * t - 1e-9)  # null where one of them is, which least() would not be
+    sizes = (a["n"] >= b["n"] * t - 1e-9) & (b["n"] >= a["n"] * t - 1e-9)
+    return sizes & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need) & (differ <= a["n"] + b["n"] - 2 * need)
 
 
 def _at(row: dict[str, Column]) -> Column:
@@ -166,8 +161,8 @@ def similar_sets(documents: DataFrame, lines: DataFrame, ranks: list[int], t: fl
     w = Window.partitionBy("word").orderBy("n", *AT)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     posted = posted.select("word", *ROW, F.lag(F.struct(*ROW)).over(w).alias("prev"), F.lead("n").over(w).alias("next"), F.min(F.struct(*ROW)).over(whole).alias("lead"))
-    n, own = F.col("n"), {c: F.col(c) for c in ROW}
-    posted = posted.where(_near(F.col("prev.n"), n, t) | _near(F.col("next"), n, t))
+    own = {c: F.col(c) for c in ROW}
+    posted = posted.where(F.col("prev").isNotNull() | F.col("next").isNotNull())
     tries = []
     for name in ("lead", "prev"):
         other = {c: F.col(f"{name}.{c}") for c in ROW}
@@ -178,14 +173,9 @@ def similar_sets(documents: DataFrame, lines: DataFrame, ranks: list[int], t: fl
     settled = materialize(_verify(documents, tried, ranks, t), "line-settled")
     # sets without a match so far, against everything earlier in their lists
     rows = posted.select("word", *ROW)
-    # a length class of x is one of those that y's partners may have: t n at least, and no more than its place allows
-    size_class = lambda m: F.floor(F.log(m) / math.log(1 / t)).cast("int")
-    least, most = F.ceil(n * t - 1e-9), F.floor((n - F.col("pos")) * ((1 + t) / t) + 1e-9) - n
-    x = rows.withColumn("class", size_class(n)).alias("x")
-    y = rows.join(settled.select(*AT[1:]), AT[1:], "left_anti").where(most >= least)
-    y = y.withColumn("class", F.explode(F.sequence(size_class(least), size_class(most)))).alias("y")
+    x, y = rows.alias("x"), rows.join(settled.select(*AT[1:]), AT[1:], "left_anti").alias("y")
     a, b = ({c: F.col(f"{s}.{c}") for c in ROW} for s in "xy")
-    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.class") == F.col("y.class")) & _fits(a, b, t) & (_at(a) < _at(b)))
+    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & _fits(a, b, t) & (_at(a) < _at(b)))
     rest = materialize(rest.select(*_pair(_at(a), _at(b))).distinct().join(tried, tried.columns, "left_anti"), "line-rest")
     found = settled.select("sig")
     if rest.limit(1).count():
