@@ -9,32 +9,46 @@ from pyspark.sql import functions as F
 
 from .dates import sane_year
 
+#: Numbers in words; patterns that end a firm's name in running text; words of a scope of work, which no name holds; parts of firms' names.
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12, "eighteen": 18,
     "twenty four": 24, "thirty six": 36,
 }
-#: Words that end a firm's name in running text, and ones that belong to a scope of work.
-ENDS = ["for", "at", "on", "against", "with", "under", "vide", "dated", "address", "through", "road", "plot", "house", "office"]
-SCOPE = ["supply", "procurement", "hiring", "provision", "construction", "maintenance", "installation", "services"]
-FIRM_ENDS = r"(?i)\b(?:ltd|limited|pvt|llc|inc|co|company|corporation|enterprises?|traders|associates|engineers|consultants?|solutions|systems|technologies|brothers|sons|group)\b"
+STOP = [
+    r"National\s+Tender", r"Provincial\s+Tender", r"TS\d", r"TN\d", r"P\.?\s?No", "Plot", r"E-\d", "Survey", "Near", "Phase", "Block", "Street", r"Road\b", "Sector", "House", "Shop",
+    "Floor", "Building", "Market", "Town", "Colony", "Scheme", "Chowk", "Bazar", "Bazaar", "Office", "Suite", "Room", "Flat", "Gali", "Mouza", "Tehsil", "District", "Opposite",
+    r"\d{1,2}(?:st|nd|rd|th)\b", r"\bNo\.",
+]
+SCOPE = [
+    "along with", r"works?\b", r"services?\b", "repair", "providing", "fixing", "supply", "installation", "construction", "procurement", "maintenance", "provision", "including", "complete",
+    "various", "miscellaneous", "equipment", "material",
+]
+FIRM = [
+    "enterprise", "trader", "associate", "international", "pvt", "private", "ltd", "limited", "corporation", "industries", "company", r"\bco\b", r"&\s?co", "builder", "engineer",
+    "solution", "system", "technolog", r"tech\b", "services", "store", "paint", "mills", "hardware", "traders", "brothers", "sons", "agencies", "agency", "impex", "construction",
+]
 
 
-def _any_word(words: list[str]) -> str:
-    return "(?:" + "|".join(words) + ")"
+def _any(patterns: list[str]) -> str:
+    return "(?:" + "|".join(patterns) + ")"
 
 
 def winner_of(text: Column, cities: list[str]) -> Column:
-    """The awarded firm after M/s or awarded to, without its city; null unless it reads like a firm."""
-    stop = _any_word([*ENDS, *SCOPE, *cities])
-    pattern = rf"(?i)(?:\bM/?s\.?|awarded\s+to|contractor|supplier|vendor)\s*[:\-]?\s+([A-Z][A-Za-z0-9&.\-' ]{{2,55}}?)(?=,|\s+{stop}\b|\s*$)"
-    name = F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1)
-    name = F.regexp_replace(F.trim(F.regexp_replace(name, r"\s{2,}", " "), F.lit(" .,-")), r"\s+\d[\w\-]*$", "")
+    """The firm after M/s, else after words like awarded to, without its city; null unless it reads like a firm."""
+    t = F.coalesce(text, F.lit(""))
+    after = rf"([A-Za-z][A-Za-z0-9&.\-' ]{{2,55}}?)(?=,|\s+{_any([*STOP, *cities, *SCOPE])}\b|\s*$)"
+    leads = [r"M/?s\.?\s+", r"(?:awarded\s+to|contractor|supplier|vendor)\s*[:\-]?\s+"]
+    name = F.coalesce(*(F.nullif(F.regexp_extract(t, "(?i)" + lead + after, 1), F.lit("")) for lead in leads))
+    name = F.trim(F.regexp_replace(name, r"\s{2,}", " "), F.lit(" .,-"))
+    name = F.trim(F.regexp_replace(name, rf"(?i)\s+{_any(cities)}$", "")) if cities else name
+    good = (F.length(name) >= 4) & ~name.rlike(f"(?i){_any(SCOPE)}")
     words = F.split(name, " ")
     # a repeated longer word is kept once
-    name = F.array_join(F.filter(words, lambda w, k: (F.length(w) <= 3) | (F.array_position(F.transform(words, lambda x: F.lower(x)), F.lower(w)) == k + 1)), " ")
-    n = F.size(F.split(name, " "))
-    good = (F.length(name) >= 4) & ~name.rlike(rf"(?i)\b{_any_word(SCOPE)}\b") & (name.rlike(FIRM_ENDS) | n.between(2, 5))
-    return F.when(good, F.substring(name, 1, 80))
+    lower = F.transform(words, lambda x: F.lower(x))
+    name = F.array_join(F.filter(words, lambda w, k: (F.length(w) <= 3) | (F.array_position(lower, F.lower(w)) == k + 1)), " ")
+    name = F.trim(F.regexp_replace(name, r"\s+\d[\w\-]*$", ""))
+    reads = name.rlike(f"(?i){_any(FIRM)}") | F.size(F.split(name, " ")).between(2, 5)
+    return F.when(good & reads, F.substring(name, 1, 80))
 
 
 def term_months(text: Column) -> Column:
