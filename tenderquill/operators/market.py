@@ -231,8 +231,9 @@ def signals(notices: DataFrame, awards: DataFrame, asof: str, limit: int = 6) ->
 def grouped_with_other(df: DataFrame, key: Column, top: int = 12) -> DataFrame:
     """Counts of key, all but the top ones rolled up as Other."""
     n = counts(df, F.coalesce(key, F.lit("Unspecified")))
-    k = F.row_number().over(Window.orderBy(c("n").desc(), "k"))
-    return n.select(F.when(k <= top, c("k")).otherwise("Other").alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n"))
+    best = n.orderBy(c("n").desc(), "k").limit(top).select(c("k").alias("own"))
+    named = n.join(F.broadcast(best), c("k") == c("own"), "left")  # top rows at most
+    return named.groupBy(F.coalesce("own", F.lit("Other")).alias("k")).agg(F.sum("n").alias("n"))
 
 
 def series(df: DataFrame, month: Column, key: Column, top: int = 6) -> DataFrame:

@@ -63,10 +63,19 @@ def sweep_ids(spark: SparkSession, fetch: Callable[[DataFrame], DataFrame], star
         rows.unpersist()
 
 
-def consecutive_misses(ids: DataFrame, hit: Column) -> DataFrame:
-    """first, last, n of each run of ids without a hit."""
-    rows = ids.select("id", hit.alias("hit")).withColumn("run", F.count_if("hit").over(Window.orderBy("id")))
-    return rows.where("NOT hit").groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).drop("run")
+BLOCK_IDS = 1 << 20
+
+
+def consecutive_misses(ids: DataFrame, hit: Column, block: int = BLOCK_IDS) -> DataFrame:
+    """first, last, n of each run of ids without a hit: runs are named by the hit before them, found within blocks of ids and, where a block has none yet, from the last hit of earlier blocks."""
+    rows = ids.select("id", hit.alias("hit"), F.floor(F.col("id") / block).alias("block"))
+    last = rows.groupBy("block").agg(F.max(F.when(F.col("hit"), F.col("id"))).alias("hit_id"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    last = last.select("block", F.max("hit_id").over(before).alias("earlier"))
+    here = Window.partitionBy("block").orderBy("id")
+    rows = rows.withColumn("own", F.max(F.when(F.col("hit"), F.col("id"))).over(here)).join(last, "block")
+    rows = rows.where("NOT hit").withColumn("run", F.coalesce("own", "earlier"))
+    return rows.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).drop("run")
 
 
 def month_windows(asof: datetime.date, back: int = 2) -> list[tuple[datetime.date, datetime.date]]:

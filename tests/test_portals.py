@@ -58,3 +58,17 @@ def test_reports(spark):
     saved = {r["uid"]: r for r in context.save_details(notices, details).collect()}
     assert saved["a"]["contact_email"] == "old@x" and saved["a"]["scope"] is None and saved["b"]["uid"] == "b"
     assert context.ask(notices.select("uid"), "q", lambda q, rows: f"{q}:{len(rows.splitlines())}") == "q:2"
+
+
+def test_miss_runs_cross_blocks(spark):
+    hits = {7, 8, 30, 31, 64}
+    df = spark.createDataFrame([(k, k in hits) for k in range(100) if k % 13], "id long, ok boolean")
+    want = []
+    for k in range(100):
+        if k % 13 and k not in hits:
+            run = max((h for h in hits if h < k), default=-1)
+            want.append((run, k))
+    by = {r: [k for q, k in want if q == r] for r, _ in want}
+    for block in (5, 10, 1000):
+        got = sorted(tuple(r) for r in portals.consecutive_misses(df, F.col("ok"), block).collect())
+        assert got == sorted((v[0], v[-1], len(v)) for v in by.values())
