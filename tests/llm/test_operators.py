@@ -136,7 +136,7 @@ def test_decontamination_matches_brute_force(spark, texts, docs):
     items = [(1, texts[0]), (2, " ".join(texts[1].split()[5:16])), (10, "One, two THREE"), (3, None), (4, "..."), (5, texts[0]), (6, "a b c d e f g"), (7, "é ü")]
     bench = spark.createDataFrame([*items, (None, texts[2])], "item_id long, text string")
     made = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" " + items[1][1].upper() + " tail"))).otherwise(F.col("text")))
-    for block in (decontaminate.BLOCK_WORDS, 20):
+    for block in (decontaminate.BLOCK_WORDS, 20, 1):  # the last: more blocks than CHAIN
         for r in decontaminate.decontaminate(clashing(made), bench, block_words=block).collect():
             n, hit, own = brute_hits(r["text"], [i for i in items if i[1]])
             assert (r["n_words"], sum(h["words"] for h in r["hits"]), r["items"]) == (n, hit, own)
@@ -162,6 +162,19 @@ def test_url_rules_and_model(spark):
     assert url_filter.judge_urls(empty(spark, "page_id long, url string")).count() == 0
 
 
+def test_url_model_of_one_class_allows(spark):
+    urls = [f"https://a{k}.com/x/{k}" for k in range(20)] + ["http://b.org/y", "http://b.org/y", None, ""]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == len(urls) and {r["verdict"] for r in got} == {"allow"} and {r["score"] for r in got} == {0.0}
+
+
+def test_url_model_of_equal_classes_ties(spark):
+    """Both classes hold the same strings but for the host: the rest ties, and one verdict holds for all of it."""
+    urls = [f"https://{h}/fr/p{k}" for k in range(30) for h in ("q.com", "q.net")] + [f"http://z.org/p{k}" for k in (1, 1, 1)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len({(r["score"], r["verdict"]) for r in got if r["host"] == "z.org"}) == 1
+
+
 def test_url_model_probabilities_sum_to_one():
     counts = np.zeros(url_filter.CELLS, np.int64)
     counts[url_filter.grams(__import__("pandas").Series(["http://a.b/c", "", None]))[0]] += 1

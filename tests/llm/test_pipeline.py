@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
         y = int(k % 4 == 0)
         rows.append((k, prose(50) + " snarkling grumblor" * (2 * y)))
         labels.append((k, 1, y))
-    rows += [(200, body), (201, body + " one two"), (202, prose(40) + "\n" + passage), (203, passage + "\n" + prose(40)), (204, prose(30) + " " + item), (205, None), (206, ""), (None, prose(10)), (200, body)]
+    rows += [(200, body), (201, body + " one two"), (202, prose(40) + "\n" + passage), (203, passage + "\n" + prose(40)), (204, prose(30) + " " + item), (205, None), (206, ""), (None, prose(10)), (200, body), (207, prose(20_000))]
     full = [(i, t, "en", "s1" if (i or 0) % 2 else None, None, "own", 9, 9) for i, t in rows]
     spark.createDataFrame(full, DOC).write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
@@ -52,6 +52,7 @@ def test_stages(spark, folder):
     assert 201 not in text  # its only line repeats an earlier one
     assert 200 in ids["near_duplicates"] and 205 in ids["near_duplicates"]
     assert 204 not in ids["decontamination"] and 203 in ids["decontamination"]
+    assert 207 in ids["decontamination"]
     assert sorted(map(str, ids["mixture"])) == sorted(map(str, ids["decontamination"]))
 
 
@@ -62,6 +63,14 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 2]
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Rows with one doc_id are one document: they stay or go together."""
+    body = prose(120)
+    rows = [(k, t, "en", "s", 1, "own", 9, 9) for k, t in [(1, body), (2, body + " tail"), (2, prose(60)), (3, prose(50)), (3, prose(70)), (None, body), (None, None)]]
+    out = cp.near_duplicates(spark, spark.createDataFrame(rows, DOC), "")
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "3", "None", "None"]
+
+
 def test_empty_table(spark, folder):
     docs = spark.createDataFrame([], DOC)
     for name, f in cp.STAGES:
