@@ -142,7 +142,7 @@ class Model:
         self.bases = {g.removesuffix(x) for g in grams for x in LEVELS[1:]}
 
     def features(self, text: str | None, memo: dict[str, tuple[str, ...]]) -> set[int]:
-        if len(memo) > 300_000:
+        if len(memo) > 100_000:
             memo.clear()
         words = WORD.findall((text or "").lower())
         n: dict[str, int] = {}
