@@ -22,12 +22,31 @@ def parse_money(text: Column, fx: dict[str, float] = FX) -> Column:
     return F.struct(F.when(t != "", t).alias("value_text"), value.alias("value_num"), F.when(value.isNotNull(), currency).alias("currency"))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """x, 1 or more, with so many decimals (1 or 2) as C and Python print it: by the exact value of the binary number, ties to even.
+
+    Java's formatter rounds the shortest decimal instead, half up: 4.85, which is less than that, to 4.9 and 1.25 to 1.3.
+    """
+    scale = 10**places
+    whole = F.floor(x)
+    part = x - whole
+    k = F.floor(part * scale)
+    # 2k + 1 less 2 part * scale, its sign without rounding: part times powers of 2, large ones first
+    rest = (2 * k + 1).cast("double")
+    for power in (1 << b for b in reversed(range(8)) if (2 * scale) >> b & 1):
+        rest = rest - part * power
+    k = k + F.when((rest < 0) | ((rest == 0) & (k % 2 == 1)), 1).otherwise(0)
+    near = F.concat((whole + F.when(k == scale, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((k % scale).cast("string"), places, "0"))
+    inf = F.lit(float("inf"))
+    return F.when(F.isnan(x), "nan").when(x == inf, "inf").when(x < 9e18, near).otherwise(F.format_string(f"%.{places}f", x))
+
+
 def money_label(n: Column) -> Column:
     """Rupees in billions, millions or whole; '-' for null and 0."""
     return (
         F.when(n.isNull() | (n == 0), F.lit("-"))
-        .when(n >= 1e9, F.format_string("Rs %.2fbn", n / 1e9))
-        .when(n >= 1e6, F.format_string("Rs %.1fm", n / 1e6))
+        .when(n >= 1e9, F.concat(F.lit("Rs "), fixed(n / 1e9, 2), F.lit("bn")))
+        .when(n >= 1e6, F.concat(F.lit("Rs "), fixed(n / 1e6, 1), F.lit("m")))
         .otherwise(F.concat(F.lit("Rs "), F.format_number(n, 0)))
     )
 

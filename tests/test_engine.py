@@ -37,6 +37,15 @@ def test_money(spark):
     assert column(spark, [None, 1e6 - 1, 1e6, 5e8], money.value_band, "double") == ["Not disclosed", "Under 1M", "1M - 10M", "Above 500M"]
 
 
+def test_money_labels_round_exactly(spark):
+    """As Python prints them: by the binary number's exact value, ties to even."""
+    tenths = [50_000.0 * k for k in range(21, 20_000, 2)] + [97 * 50_000.0 * k for k in range(1, 200)] + [999_949_999.0, 999_950_000.0, 999_999_999.0]
+    cents = [5e6 * k for k in range(201, 20_001, 2)] + [97 * 5e6 * k for k in range(3, 200)] + [1.5e15, 1.999995e9, 2.00499999e9, 123456789012345678.0, 7e24]
+    got = column(spark, tenths + cents, money.money_label, "double")
+    assert got == [f"Rs {n / 1e6:.1f}m" if n < 1e9 else f"Rs {n / 1e9:.2f}bn" for n in tenths + cents]
+    assert got[tenths.index(4.85e6)] == "Rs 4.8m" and got[tenths.index(1.25e6)] == "Rs 1.2m"
+
+
 def test_text(spark):
     words = column(spark, ["services installations fiber used gas", None], text.terms)
     assert words == [["servic", "installation", "fibre", "used", "gas"], []]
