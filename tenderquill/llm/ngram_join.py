@@ -10,8 +10,14 @@ subsets of c elements and meet in one. Heavy sets, and light ones near enough to
 with heavy ones, are found by scanning inverted lists of their first
 n - ceil(3n / 4) + 1 shingles in order of rarity. B minimises the cost of both
 over the measured histogram of set sizes. Rarity comes from counts of all
-shingles in 65,536 hash buckets, so passages that many documents share are last
-in that order and seldom get into lists.
+shingles in 65,536 hash buckets, so passages that many documents share are late
+in that order. A bucket holds ever more shingles as the corpus grows and tells
+less of each, so a first pass counts the shingles that would make up the lists
+themselves, and those of more than FREQUENT entries (the MOST longest lists at
+most) go behind all others. Lists of unrelated texts, which meet in a common
+phrase, thus stay shorter. Shingles that come into lists only as these leave them
+are not counted again. Any order of shingles gives the same links; this one only
+makes less work.
 
 Two linked sets differ in at most (a + b) / 7 elements. Each set has a parity of
 four bits an element, in which every element flips one, and the same folded to
@@ -38,8 +44,8 @@ Lists are worked off without expanding groups of near copies into pairs:
 Every pair that can link is thus verified on its elements or lies within one
 component, and no link between components is lost.
 
-Nothing but 65,536 bucket counts and a histogram of small sizes reaches the
-driver; all loops keep their state in the shared folder. A set is one array, so a
+Nothing but 65,536 bucket counts, histograms of small sizes and of list lengths
+and at most MOST frequent shingles (2 MB) reaches the driver; all loops keep their state in the shared folder. A set is one array, so a
 text must fit into memory several times over (8 bytes a shingle); Arrow batches
 end by bytes.
 
@@ -71,6 +77,9 @@ BUCKETS, CHUNK = 1 << 16, 1 << 10
 #: Sets of more shingles are never light: their subsets alone cost more than any list.
 LIGHT_SIZES, SCAN_COST = 24, 4
 LEAST_PARITY, ROUNDS, LONG, CLASSES = 512, 3, 128, 8
+#: Longest list of a shingle that isn't frequent; most shingles that are taken as frequent.
+FREQUENT, MOST = 16, 1 << 18
+NONE = np.zeros(0, np.uint64)
 SALT = np.uint64(0xA0761D6478BD642F)
 TRANSLATION = bytes(ord(chr(b).lower()) if chr(b) in UPPER else 0x20 if 9 <= b <= 13 else b for b in range(256))
 
@@ -171,9 +180,50 @@ def rarity_ranks(counted: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _post(ranks, light: int):
+def scanned(n: int, light: int) -> bool:
+    """Whether a set of n is in the lists of its rarest shingles."""
+    return n > light or n >= least_share(light + 1)
+
+
+def _prefixes(ranks, light: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
+        for pdf in batches:
+            tokens, halves = [], []
+            for t in pdf["text"]:
+                s = shingle_set(t)
+                n = len(s)
+                if not n or not scanned(n, light) or (sig := signature(s)) in seen:
+                    continue
+                seen.add(sig)
+                tokens.append(ordered(s, ranks.value)[: prefix_size(n)])
+                halves.append(np.full(len(tokens[-1]), sig >> 32, np.int32))
+            if tokens:
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "half": np.concatenate(halves)})
+
+    return run
+
+
+def frequent_shingles(rows: DataFrame, ranks, light: int, least: int, most: int) -> np.ndarray:
+    """Those, as numbers of ordered() and sorted, whose lists would have more than `least` entries; the longest lists while there are at most `most`."""
+    lists = rows.select("text").mapInPandas(_prefixes(ranks, light), "token long, half int").groupBy("token")
+    # copies of one set, which several tasks may hold, are one entry in the end
+    lists = lists.agg(F.count("*").alias("length"), F.min("half").alias("lo"), F.max("half").alias("hi")).where((F.col("length") > least) & (F.col("lo") != F.col("hi")))
+    lists = materialize(lists.select("token", F.floor(F.log2("length") * 8).cast("int").alias("step")), "ngram-frequent")
+    total, first = 0, None
+    for step, count in sorted(((r["step"], r["count"]) for r in lists.groupBy("step").count().collect()), reverse=True):
+        total += count
+        if total > most:
+            break
+        first = step
+    if first is None:
+        return NONE
+    return np.sort(lists.where(F.col("step") >= first).select("token").toArrow().column("token").to_numpy().view(np.uint64))
+
+
+def _post(ranks, common, light: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, seen = ranks.value, set()
+        seen = set()
         for pdf in batches:
             tokens, sigs, sizes, places = [], [], [], []
             for t in pdf["text"]:
@@ -192,10 +242,10 @@ def _post(ranks, light: int):
                                     x = x * BASE + e
                             own.append(x)
                     pos = [0] * len(own)
-                if n > light or n >= least_share(light + 1):
-                    order = ordered(s, rank)[: prefix_size(n)]
-                    own = np.concatenate([np.array(own, np.uint64), order])
-                    pos = np.concatenate([np.array(pos, np.int32), np.arange(len(order), dtype=np.int32)])
+                if scanned(n, light):
+                    rarest = ordered(s, ranks.value, common.value)[: prefix_size(n)]
+                    own = np.concatenate([np.array(own, np.uint64), rarest])
+                    pos = np.concatenate([np.array(pos, np.int32), np.arange(len(rarest), dtype=np.int32)])
                 tokens.append(np.asarray(own, np.uint64))
                 places.append(np.asarray(pos, np.int32))
                 sigs.append(np.full(len(own), sig, np.int64))
@@ -206,16 +256,22 @@ def _post(ranks, light: int):
     return run
 
 
-def ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The set's elements as numbers that sort by rarity, sorted; one-to-one."""
-    return np.sort((rank[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (s & np.uint64((1 << 48) - 1)))
+def ordered(s: np.ndarray, rank: np.ndarray, frequent: np.ndarray = NONE) -> np.ndarray:
+    """The set's elements as numbers that sort by their bucket's rarity, sorted, but for the frequent ones, which come last; one-to-one."""
+    x = np.sort((rank[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (s & np.uint64((1 << 48) - 1)))
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+        if late.any():
+            x = np.concatenate([x[~late], x[late]])
+    return x
 
 
-def _sets(ranks):
+def _sets(ranks, common):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = NONE if common is None else common.value
         for pdf in batches:
             found = [shingle_set(t) for t in pdf["text"]]
-            yield pd.DataFrame({"sig": [signature(s) for s in found], "elements": [ordered(s, ranks.value).view(np.int64) for s in found]})
+            yield pd.DataFrame({"sig": [signature(s) for s in found], "elements": [ordered(s, ranks.value, frequent).view(np.int64) for s in found]})
 
     return run
 
@@ -243,16 +299,16 @@ def _mini_alike(x: str, y: str) -> Column:
 
 
 class Corpus:
-    """Texts, one row for each distinct set, and the order of rarity."""
+    """Texts, one row for each distinct set, and the order: ranks of buckets and the frequent shingles, broadcast."""
 
-    def __init__(self, rows: DataFrame, owners: DataFrame, ranks) -> None:
-        self.rows, self.owners, self.ranks = rows, owners, ranks
+    def __init__(self, rows: DataFrame, owners: DataFrame, ranks, common=None) -> None:
+        self.rows, self.owners, self.ranks, self.common = rows, owners, ranks, common
 
     def elements(self, wanted: DataFrame) -> DataFrame:
         """sig, elements (rare ones first) of the wanted sigs."""
         keys = materialize(self.owners.select("sig", "dk").join(wanted.distinct(), "sig").select("dk").distinct(), "ngram-wanted")
         texts = with_keys(self.rows, keys, "dk").select("text")
-        return materialize(texts.mapInPandas(_sets(self.ranks), "sig long, elements array<long>").dropDuplicates(["sig"]), "ngram-sets")
+        return materialize(texts.mapInPandas(_sets(self.ranks, self.common), "sig long, elements array<long>").dropDuplicates(["sig"]), "ngram-sets")
 
     def parities(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) that may link by their parities, written."""
@@ -359,8 +415,8 @@ def _long_pairs(corpus: Corpus, diff: DataFrame) -> DataFrame:
     return corpus.parities(met.select(*_pair("x.sig", "y.sig", "x.n", "y.n")).distinct())
 
 
-def link_components(documents: DataFrame, rounds: int = ROUNDS, long: int = LONG) -> DataFrame:
-    """doc_id, n_shingles, component_id. rounds and long only move work between the ways of the module's text."""
+def link_components(documents: DataFrame, rounds: int = ROUNDS, long: int = LONG, frequent: int = FREQUENT, most: int = MOST) -> DataFrame:
+    """doc_id, n_shingles, component_id. The other parameters only move work between the ways of the module's text."""
     spark = documents.sparkSession
     rows = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), -2 - F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), "text"
@@ -372,8 +428,9 @@ def link_components(documents: DataFrame, rounds: int = ROUNDS, long: int = LONG
     histogram = {r["n"]: r["count"] for r in owners.where(F.col("n") <= 2 * LIGHT_SIZES).groupBy("n").count().collect()}
     light = boundary(histogram)
     ranks = spark.sparkContext.broadcast(rarity_ranks(survey.where("chunk >= 0").select("chunk", "part", "counts")))
-    corpus = Corpus(rows, owners, ranks)
-    posted = rows.select("text").mapInPandas(_post(ranks, light), "token long, sig long, n int, pos int")
+    common = spark.sparkContext.broadcast(frequent_shingles(rows, ranks, light, frequent, most))
+    corpus = Corpus(rows, owners, ranks, common)
+    posted = rows.select("text").mapInPandas(_post(ranks, common, light), "token long, sig long, n int, pos int")
     by_sig = Window.partitionBy("token").orderBy("sig")
     whole = by_sig.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     posted = posted.select("*", F.lag("sig").over(by_sig).alias("last"), F.min("sig").over(whole).alias("lo"), F.max("sig").over(whole).alias("hi"))

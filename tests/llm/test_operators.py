@@ -435,6 +435,34 @@ def test_near_copies_about_the_threshold(spark, rounds, long):
     assert got == want and 3 < len({c for _, c in want.values()}) < len(rows) - 10
 
 
+def test_phrases_make_no_long_lists(spark, monkeypatch):
+    """Unrelated texts that share phrases, where buckets tell nothing of a shingle, as in a large corpus; links stay."""
+    rng = random.Random(5)
+    phrases = [[f"p{k}q{i}" for i in range(5)] for k in range(12)]
+    texts = []
+    for k in range(200):
+        own = [[f"w{rng.randrange(10**9)}" for _ in range(10)] for _ in phrases]
+        texts.append(" ".join(w for x, y in zip(own, phrases) for w in x + y))
+        if k % 50 == 0:
+            texts.append(texts[-1] + " other")
+    seen, real = [], ngram_join.differences
+    monkeypatch.setattr(ngram_join, "differences", lambda corpus, lists: seen.append(lists.count()) or real(corpus, lists))
+    monkeypatch.setattr(ngram_join, "rarity_ranks", lambda counted: np.zeros(ngram_join.BUCKETS, np.uint64))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(df).collect()}
+    assert seen == [] and {k: c for k, c in got.items() if k != c} == {1: 0, 52: 51, 103: 102, 154: 153}
+
+
+@pytest.mark.parametrize("most", [0, 5, 1000])
+def test_any_frequent_shingles_give_the_same_links(spark, most):
+    body = prose(60)
+    near = [edited(body, s) for s in (0.01, 0.02, 0.04, 0.06, 0.08) for _ in range(12)] + [edited(prose(30), 0.02) for _ in range(10)]
+    rows = list(enumerate(near))
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOC)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(df, frequent=2, most=most).collect()}
+    assert got == brute_components(rows)
+
+
 def test_candidates_grow_with_the_group(spark):
     """Pairs to verify among near copies just below the threshold: fewer than copies, of 44,850 and 404,550 pairs."""
     body = prose(150).split()
