@@ -20,7 +20,9 @@ top bits, so sorting these numbers puts rare words first and stays one-to-one.
    isn't the first of its set, or whose set has an earlier match, is removed.
 
 Order is by (doc_id, hash of the text, line number), null doc_ids last; the same
-three and nothing less are a line's address throughout.
+three are a line's address throughout, with 0 for the hash where no other row has
+the doc_id, as the id says all there (a random long in each of the many postings
+is not for free).
 
 Only the 65,536 bucket counts reach the driver. Posting lists of frequent words
 are short because frequent words come last. A text is one row wherever lines are
@@ -43,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, table, with_keys
+from .common import BROADCAST_KEYS, materialize, table, with_keys
 
 THRESHOLD, MIN_WORDS, MIN_CHARS = 0.9, 3, 40
 SPACES = r"[\x20\x09-\x0D]+"
@@ -65,6 +67,25 @@ def address() -> list[Column]:
     return [F.col("doc_id").isNull().alias("late"), F.coalesce(F.col("doc_id").cast("long"), -2 - F.shiftrightunsigned(th, 2)).alias("dk"), th.alias("th")]
 
 
+def repeated_ids(documents: DataFrame) -> DataFrame:
+    """dk of the ids that several rows have, written."""
+    ids = documents.select(F.col("doc_id").cast("long").alias("dk")).where("dk IS NOT NULL")
+    return materialize(ids.groupBy("dk").count().where("count > 1").select("dk"), "line-ids")
+
+
+def placed(documents: DataFrame, repeated: DataFrame, *more: Column) -> DataFrame:
+    """text, late, dk and th of each document, and more columns; th is 0 where the id isn't null and no other row has it."""
+    late, dk, th = address()
+    rows = documents.select(*more, F.col("text"), late, dk)
+    names = [c for c in rows.columns if c != "dk"]
+    several, count = F.col("late"), repeated.count()
+    if count:
+        marks = repeated.select("dk", F.lit(True).alias("several"))
+        rows = rows.join(F.broadcast(marks) if count <= BROADCAST_KEYS else marks.hint("merge"), "dk", "left")
+        several |= F.col("several").isNotNull()
+    return rows.select(*names, "dk", F.when(several, th).otherwise(F.lit(0).cast("long")).alias("th"))
+
+
 def rarity_ranks(documents: DataFrame) -> list[int]:
     """Rank of each bucket of word hashes, rarest first."""
     lines = documents.select(F.explode(F.split(plain(F.col("text")), "\n")).alias("line"))
@@ -99,9 +120,9 @@ def _required(n: Column, t: float) -> Column:
     return F.ceil(n * t - 1e-9)
 
 
-def line_table(documents: DataFrame, ranks: list[int], t: float, min_words: int) -> DataFrame:
+def line_table(documents: DataFrame, repeated: DataFrame, ranks: list[int], t: float, min_words: int) -> DataFrame:
     """Address, n, sig, parity and prefix of each line that takes part."""
-    lines = documents.select(*address(), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("ln", "line"))
+    lines = placed(documents, repeated).select(*AT[:3], F.posexplode(F.split(plain(F.col("text")), "\n")).alias("ln", "line"))
     # through a generator, so that the filter isn't pushed below and the words are made once
     words = lines.select(*AT, F.length("line").alias("chars"), F.explode(F.array(ordered_words(F.col("line"), ranks))).alias("w"))
     words = words.where((F.size("w") >= min_words) | ((F.col("chars") >= MIN_CHARS) & (F.size("w") > 0)))
@@ -132,10 +153,10 @@ def _pair(first: Column, second: Column) -> list[Column]:
     return [s[c].alias(f"{x}_{c}") for x, s in (("a", F.least(first, second)), ("b", F.greatest(first, second))) for c in AT[1:]]
 
 
-def _fetch(documents: DataFrame, wanted: DataFrame, ranks: list[int]) -> DataFrame:
+def _fetch(documents: DataFrame, repeated: DataFrame, wanted: DataFrame, ranks: list[int]) -> DataFrame:
     """dk, th, ln, words of the wanted lines."""
     per = materialize(wanted.groupBy("dk", "th").agg(F.collect_set("ln").alias("lns")), "line-wanted")
-    rows = with_keys(documents.select(*address()[1:], "text"), materialize(per.select("dk").distinct(), "line-keys"), "dk")
+    rows = with_keys(placed(documents, repeated).select("dk", "th", "text"), materialize(per.select("dk").distinct(), "line-keys"), "dk")
     found = rows.dropDuplicates(["dk", "th"]).join(per.hint("merge"), ["dk", "th"])
     # the lines of a text are bound to a name, so that it is split once
     cut = F.transform(F.array(F.split(plain(F.col("text")), "\n")), lambda lines: F.transform("lns", lambda k: F.struct(k.alias("ln"), F.get(lines, k).alias("line"))))
@@ -143,10 +164,10 @@ def _fetch(documents: DataFrame, wanted: DataFrame, ranks: list[int]) -> DataFra
     return found.select("dk", "th", "l.ln", F.explode(F.array(ordered_words(F.col("l.line"), ranks))).alias("w"))
 
 
-def _verify(documents: DataFrame, pairs: DataFrame, ranks: list[int], t: float) -> DataFrame:
+def _verify(documents: DataFrame, repeated: DataFrame, pairs: DataFrame, ranks: list[int], t: float) -> DataFrame:
     """Address (but late) and sig of the later line b of each pair whose words are similar enough."""
     a_at, b_at = ([F.col(f"{x}_{c}").alias(c) for c in AT[1:]] for x in "ab")
-    words = materialize(_fetch(documents, pairs.select(*a_at).unionByName(pairs.select(*b_at)), ranks), "line-words")
+    words = materialize(_fetch(documents, repeated, pairs.select(*a_at).unionByName(pairs.select(*b_at)), ranks), "line-words")
     side = lambda x: words.select(*(F.col(c).alias(f"{x}_{c}") for c in AT[1:]), F.col("w").alias(f"{x}_w"))
     both = pairs.join(side("a"), [f"a_{c}" for c in AT[1:]]).join(side("b"), [f"b_{c}" for c in AT[1:]])
     shared = F.size(F.array_intersect("a_w", "b_w"))
@@ -154,7 +175,7 @@ def _verify(documents: DataFrame, pairs: DataFrame, ranks: list[int], t: float)
     return ok.select(*b_at, signature(F.col("b_w")).alias("sig")).distinct()
 
 
-def similar_sets(documents: DataFrame, lines: DataFrame, ranks: list[int], t: float) -> DataFrame:
+def similar_sets(documents: DataFrame, repeated: DataFrame, lines: DataFrame, ranks: list[int], t: float) -> DataFrame:
     """sig of sets with a similar set at an earlier place."""
     first = lines.groupBy("sig").agg(F.min(F.struct(F.struct(*AT).alias("at"), "n", "parity", "prefix")).alias("r"))
     posted = first.select("r.at.*", "r.n", "r.parity", F.posexplode("r.prefix").alias("pos", "word"))
@@ -170,7 +191,7 @@ def similar_sets(documents: DataFrame, lines: DataFrame, ranks: list[int], t: fl
     posted = materialize(posted.select("word", *ROW, *tries), "line-postings")
     tried = posted.select(*AT, F.explode(F.array_compact(F.array("lead", "prev"))).alias("other")).select(*_pair(_at(own), F.col("other"))).distinct()
     tried = materialize(tried, "line-pairs")
-    settled = materialize(_verify(documents, tried, ranks, t), "line-settled")
+    settled = materialize(_verify(documents, repeated, tried, ranks, t), "line-settled")
     # sets without a match so far, against everything earlier in their lists
     rows = posted.select("word", *ROW)
     x, y = rows.alias("x"), rows.join(settled.select(*AT[1:]), AT[1:], "left_anti").alias("y")
@@ -179,15 +200,16 @@ def similar_sets(documents: DataFrame, lines: DataFrame, ranks: list[int], t: fl
     rest = materialize(rest.select(*_pair(_at(a), _at(b))).distinct().join(tried, tried.columns, "left_anti"), "line-rest")
     found = settled.select("sig")
     if rest.limit(1).count():
-        found = found.unionByName(materialize(_verify(documents, rest, ranks, t), "line-found").select("sig"))
+        found = found.unionByName(materialize(_verify(documents, repeated, rest, ranks, t), "line-found").select("sig"))
     return found.distinct()
 
 
 def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """documents with text less removed lines, n_lines and n_removed."""
     ranks = rarity_ranks(documents)
-    lines = materialize(line_table(documents, ranks, threshold, min_words), "lines")
-    bad = similar_sets(documents, lines, ranks, threshold).withColumn("similar", F.lit(True))
+    repeated = repeated_ids(documents)
+    lines = materialize(line_table(documents, repeated, ranks, threshold, min_words), "lines")
+    bad = similar_sets(documents, repeated, lines, ranks, threshold).withColumn("similar", F.lit(True))
     at = F.struct(*AT)
     marks = lines.select("sig", at.alias("at")).groupBy("sig").agg(F.min("at").alias("first"), F.count("*").alias("count")).join(bad, "sig", "left")
     marks = materialize(marks.where("count > 1 OR similar").select("sig", F.when(F.col("similar").isNull(), F.col("first")).alias("keep")), "line-marks")
@@ -195,7 +217,7 @@ def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, min_words: i
     per = gone.groupBy("dk", "th").agg(F.collect_set("ln").alias("gone"))
     # documents' own columns travel in a struct, so that none can clash
     own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), *address()[1:])
+    rows = placed(documents, repeated, F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")).select("row", "dk", "th")
     out = rows.join(per.hint("merge"), ["dk", "th"], "left")
     split = F.split("row.text", "\n")
     # the lines are bound to a name, so that the text is split once

@@ -350,6 +350,20 @@ def test_line_dedup_texts_of_one_id(spark):
     assert sum(r["text"] == base for r in got if r["doc_id"] == 1) + sum(r["text"] == base + " extra" for r in got if r["doc_id"] == 1) == 1
 
 
+def test_addresses_hold_a_hash_only_where_ids_repeat(spark):
+    """An address has no more than its id and line where that is enough; order and removals are those of full ones."""
+    lines = [f"alpha{k} beta{k} gamma{k} delta{k}" for k in range(4)]
+    rows = [(1, "\n".join(lines[:2])), (2, "\n".join(lines[1:3])), (3, lines[0] + "\n" + lines[3]), (3, lines[2] + "\nx"), (None, lines[3]), (None, lines[1] + "\n" + lines[3] + " z"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    repeated = line_dedup.repeated_ids(df)
+    assert [r["dk"] for r in repeated.collect()] == [3]
+    found = line_dedup.line_table(df, repeated, [0] * line_dedup.BUCKETS, 0.9, 3).collect()
+    assert {r["dk"] for r in found if not r["th"]} == {1, 2} and {r["late"] or r["dk"] == 3 for r in found if r["th"]} == {True}
+    assert len({tuple(r[c] for c in line_dedup.AT) for r in found}) == len(found) == 10
+    got = sorted((r["doc_id"] or 9, r["text"] or "", r["n_removed"]) for r in line_dedup.dedup_lines(df).collect())
+    assert got == sorted([(1, rows[0][1], 0), (2, lines[2], 1), (3, lines[3], 1), (3, "x", 1), (9, "", 1), (9, lines[3] + " z", 1), (4, "", 0)])
+
+
 def test_line_dedup_edges(spark, docs):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count()
