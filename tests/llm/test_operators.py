@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -337,6 +338,50 @@ def test_line_dedup_matches_brute_force(spark, texts):
         assert got == brute_lines(rows, t, 3)
 
 
+def line_keys(spark, lines, t):
+    """Keys of each line of some words."""
+    df = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(lines)], "doc_id long, text string")
+    rows = line_dedup.line_rows(df, line_dedup.repeated_ids(df), t, 1).select("dk", "h", "key").collect()
+    keys, of = {}, {r["h"]: set() for r in rows}
+    for r in rows:
+        if r["key"] is None:
+            keys[r["dk"]] = of[r["h"]]
+        else:
+            of[r["h"]].add(r["key"])
+    return [keys[k] for k in range(len(lines))]
+
+
+def test_similar_lines_share_a_key(spark):
+    """Sets that are just similar enough have a key in common, whatever their size and wherever they differ; sets of nine tenths of other words hardly ever."""
+    r = random.Random(8)
+    for t in (0.9, 0.7):
+        lines, at_most = [], 0
+        for n in [*range(3, 70), 90, 127, 128, 150, 351, 585, 700, 1300]:
+            for _ in range(6):
+                a = [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+                lost = r.randint(0, int(n * (1 - t)))
+                most = int((n - lost) / t - n + 1e-9)  # of added words
+                added = most if r.random() < 0.7 else r.randint(0, most)
+                lines += [a, a[lost:] + [f"x{r.randint(0, 10**9)}" for _ in range(added)]]
+                at_most = max(at_most, lost + added)
+        keys = line_keys(spark, lines, t)
+        assert at_most > 100
+        for k in range(0, len(lines), 2):
+            a, b = set(lines[k]), set(lines[k + 1])
+            assert len(a & b) >= t * len(a | b) - 1e-9 and (a == b or keys[k] & keys[k + 1]), (t, len(a), len(b))
+
+
+def test_unrelated_lines_of_few_words_share_hardly_any_key(spark):
+    """Each word of a vocabulary of 300 is in a tenth of these lines; lists by single words would hold nearly all entries with others."""
+    r = random.Random(9)
+    lines = [r.sample([f"w{k}" for k in range(300)], r.randint(10, 80)) for _ in range(1000)]
+    keys = line_keys(spark, lines, 0.9)
+    count = Counter(k for own in keys for k in own)
+    shared = sum(n for n in count.values() if n > 1)
+    assert shared < 0.05 * sum(count.values())
+    assert sum(count.values()) < 20 * len(lines)
+
+
 def test_line_dedup_texts_of_one_id(spark):
     """Rows with one doc_id and other texts are separate documents, in order of the texts' hashes."""
     base = prose(20)
